@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontam, mixing, nbsvm, setjoin, suffix, toxicity, url_rules
+from . import audio, decontam, mixing, nbsvm, pagediff, ppm, setjoin, suffix, toxicity, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagediff.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -22,6 +26,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeat_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +54,6 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.near_duplicates(table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_spaced_seed_decontamination, op3_suffix_dedup, op5_quality_classifier, op6_toxicity, op7_telephony_audio, op8_url_rules, op9_source_mixing, op10_ngram_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_page_differencing, op2_spaced_seed_decontamination, op3_suffix_dedup, op4_ppm_scoring, op5_quality_classifier, op6_toxicity, op7_telephony_audio, op8_url_rules, op9_source_mixing, op10_ngram_jaccard)}
 
 ORACLES: dict[str, str] = {"op8_url_rules": url_rules.ORACLE}
