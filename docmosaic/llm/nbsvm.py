@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold
+from .common import cut, fold
 
 BITS, ORDERS = 17, (1, 2, 3, 4)
 PIECE = 1 << 16
@@ -50,13 +50,16 @@ def columns(text: bytes) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """label, text of labelled training rows, at most max_rows per class, first by a hash of the text."""
+    """y, text of labelled training rows with different texts, at most max_rows per class, first by a hash of the text.
+
+    Ids and hashes are joined with the labels; only the ids that are chosen (max_rows per class at most) go back to the texts, by broadcast.
+    """
     y = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("id"), F.col(label).alias("y")).groupBy("id").agg(F.max("y").alias("y"))
-    known = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != 0).join(y, F.col("doc_id") == F.col("id")).select("y", F.coalesce("text", F.lit("")).alias("text")).withColumn("o", F.xxhash64("text"))
-    # Only hashes are ordered; the bound of each class is the hash of its last row within max_rows.
-    keys = known.select("y", "o")
-    part = [keys.where(F.col("y") == c).select("y", "o").orderBy("o").limit(max_rows).groupBy("y").agg(F.max("o").alias("most")) for c in (0, 1)]
-    return known.join(F.broadcast(part[0].unionByName(part[1])), "y").where("o <= most").select("y", "text")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(fold(F.col("doc_id")) != 0).withColumn("o", F.xxhash64("text"))
+    known = cut(rows.select("doc_id", "o").join(y, F.col("doc_id") == F.col("id")).groupBy("y", "o").agg(F.min("doc_id").alias("id")))
+    chosen = known.where("y = 0").orderBy("o").limit(max_rows).unionByName(known.where("y = 1").orderBy("o").limit(max_rows))
+    c = F.broadcast(chosen.withColumnRenamed("o", "p"))
+    return rows.join(c, (rows["doc_id"] == c["id"]) & (rows["o"] == c["p"])).dropDuplicates(["y", "o"]).select("y", "text")
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tuple[list[np.ndarray], np.ndarray]:
