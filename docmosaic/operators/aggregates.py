@@ -19,11 +19,11 @@ def unit_gate(rows: DataFrame, numbers: str, unit: str, by: list[str] | None = N
     """
     by = by or []
     r = rows if bare_rows_count else rows.where(F.size(numbers) > 0)
-    u = r.select(*by, F.coalesce(F.col(unit), F.lit("")).alias("u"), F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x.cast("double")).alias("s"), F.size(numbers).alias("k"))
-    per = u.groupBy(*by, "u").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
-    g = per.groupBy(*by).agg(F.count("*").alias("units"), F.sum("s").alias("s"), F.sum("k").cast("long").alias("n"), F.array_sort(F.collect_list(F.struct("u", F.round("s", 4).alias("subtotal")))).alias("subtotals"))
-    total = F.when(F.col("units") > 1, F.lit(None)).when(F.col("n") == 0, F.lit(None) if empty is None else empty).otherwise(F.round("s", 4))
-    return g.select(*by, total.alias("total"), (F.col("units") > 1).alias("mixed"), F.col("n"), F.transform("subtotals", lambda x: F.concat_ws("=", x["u"], F.format_string("%.4f", x["subtotal"]))).alias("subtotals"))
+    u = r.select(*by, F.coalesce(F.col(unit), F.lit("")).alias("__u"), F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x.cast("double")).alias("__s"), F.size(numbers).alias("__k"))
+    per = u.groupBy(*by, "__u").agg(F.sum("__s").alias("__s"), F.sum("__k").alias("__k"))
+    g = per.groupBy(*by).agg(F.count("*").alias("__n"), F.sum("__s").alias("__s"), F.sum("__k").cast("long").alias("n"), F.array_sort(F.collect_list(F.struct(F.col("__u").alias("u"), F.round("__s", 4).alias("subtotal")))).alias("subtotals"))
+    total = F.when(F.col("__n") > 1, F.lit(None)).when(F.col("n") == 0, F.lit(None) if empty is None else empty).otherwise(F.round("__s", 4))
+    return g.select(*by, total.alias("total"), (F.col("__n") > 1).alias("mixed"), F.col("n"), F.transform("subtotals", lambda x: F.concat_ws("=", x["u"], F.format_string("%.4f", x["subtotal"]))).alias("subtotals"))
 
 
 def families(fields: DataFrame, docs: DataFrame) -> DataFrame:

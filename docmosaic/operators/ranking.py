@@ -18,7 +18,7 @@ def cosine_topk(df: DataFrame, vector: str, query: list[float], k: int, key: str
     """The k rows nearest to query by cosine, ties by key. Zero and null vectors are left out. TakeOrderedAndProject, no shuffle of vectors."""
     q = F.array(*(F.lit(float(x)) for x in query))
     size = sum(x * x for x in query) ** 0.5
-    score = dot(F.col(vector), q) / (F.sqrt(dot(F.col(vector), F.col(vector))) * size)
+    score = F.try_divide(dot(F.col(vector), q), F.sqrt(dot(F.col(vector), F.col(vector))) * size)
     return df.withColumn("score", score).where(F.col("score").isNotNull() & ~F.isnan("score") & (F.col("score") > floor)).orderBy(F.desc("score"), key).limit(k)
 
 

@@ -34,8 +34,9 @@ def count_by_partition(df: DataFrame, pk: str) -> DataFrame:
 
 def json_files(spark: SparkSession, path: str, schema: str, glob: str = "*.json", stem: str = "file_stem") -> tuple[DataFrame, DataFrame]:
     """SC7-SC11, SC13, SC14: one document per file: (good rows with the file's stem, unreadable files)."""
-    raw = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", "true").schema(f"{schema}, _corrupt string").json(path)
-    named = raw.withColumn(stem, F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
+    raw = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    named = raw.select(F.from_json("value", f"{schema}, _corrupt string", options).alias("r"), F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias(stem)).select("r.*", stem)
     return named.where("_corrupt is null").drop("_corrupt"), named.where("_corrupt is not null").select(stem, "_corrupt")
 
 
