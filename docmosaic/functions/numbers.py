@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import norm, text, word_set
+from .text import holds_gold, neutralize, norm, text
 
 # Fixed values.
 MONTHS = "january february march april may june july august september october november december".split()
-ORDINALS = {"first": 1, "second": 2, "third": 3, "fourth": 4, "fifth": 5, "sixth": 6, "seventh": 7, "eighth": 8, "ninth": 9, "tenth": 10}
+ORDINALS = {"first": 1, "second": 2, "third": 3, "fourth": 4, "fifth": 5, "sixth": 6, "seventh": 7, "eighth": 8, "ninth": 9, "tenth": 10, "1st": 1, "2nd": 2, "3rd": 3, "4th": 4, "5th": 5}
 UNDATED = "9999-99-99"
 NUMBER = r"\d[\d.,]*\d|\d"
 DECLARED_EDGES = {"amends": "AMENDS", "supersedes": "SUPERSEDES", "novates": "NOVATES"}
@@ -28,8 +28,8 @@ def numbers(c: Column) -> Column:
 
 
 def signed_numbers(c: Column) -> Column:
-    """Numbers with their sign; commas before three digits are grouping."""
-    t = F.regexp_replace(text(c), r"(?<=\d),(?=\d{3}(?:\D|$))", "")
+    """Numbers with their sign; commas before three digits are grouping, others decimal signs."""
+    t = F.replace(F.regexp_replace(neutralize(c), r"(?<=\d),(?=\d{3}(?:\D|$))", ""), F.lit(","), F.lit("."))
     return F.transform(F.regexp_extract_all(t, F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), lambda x: x.cast("double"))
 
 
@@ -75,24 +75,31 @@ def verification_boost(verified: Column, disputed: Column, votes: Column) -> Col
     return F.when(disputed, -0.05).when(verified, 0.05 + 0.01 * F.least(votes, F.lit(5))).otherwise(0.0)
 
 
+def present(c: Column) -> Column:
+    """PF18: neither empty nor "Not Stated"."""
+    return ~norm(c).isin("", "not stated")
+
+
 def value_matches(kind: Column, gold: Column, found: Column) -> Column:
-    """Whether any found value (array) says what gold says, by the field's type."""
-    nums = lambda v: numbers(v)
-    same = lambda v: norm(v) == norm(gold)
-    alike = lambda v: same(v) | (F.size(F.array_intersect(word_set(gold), word_set(v))) * 2 >= F.greatest(F.lit(2), F.size(word_set(gold))))
-    number = lambda v: (F.size(nums(gold)) > 0) & F.forall(nums(gold), lambda g: F.exists(nums(v), lambda x: close(g, x)))
-    return F.exists(found, lambda v: F.when(kind == "number", number(v)).when(kind.isin("enum", "presence_enum"), same(v)).otherwise(alike(v)))
+    """Whether the found values (array) say what gold says: numbers by value, vocabularies exactly, other texts by containment."""
+    first = F.get(signed_numbers(gold), F.lit(0))
+    every = F.flatten(F.transform(found, signed_numbers))
+    alike = F.exists(found, lambda v: holds_gold(gold, v))
+    number = F.when(first.isNull(), alike).otherwise(F.exists(every, lambda x: close(first, x)))
+    exact = F.exists(found, lambda v: norm(v) == norm(gold))
+    return F.when(kind.isin("enum", "presence_enum"), exact).when(kind.isin("value", "number"), number).otherwise(alike)
 
 
 def outcome(kind: Column, gold: Column, found: Column) -> Column:
-    """Correct, wrong, missed, spurious or empty."""
-    has_gold, has = F.coalesce(norm(gold), F.lit("")) != "", F.size(found) > 0
-    return F.when(~has_gold & ~has, "empty").when(~has_gold, "spurious").when(~has, "missed").when(value_matches(kind, gold, found), "correct").otherwise("wrong")
+    """Correct, wrong, missed, hallucinated, or correct_abstention where neither side states a value."""
+    stated = F.filter(found, present)
+    has_gold, has = present(gold), F.size(stated) > 0
+    return F.when(~has_gold & ~has, "correct_abstention").when(~has_gold, "hallucinated").when(~has, "missed").when(value_matches(kind, gold, stated), "correct").otherwise("wrong")
 
 
-def field_status(n_values: Column, n_distinct: Column, single: Column, has_evidence: Column) -> Column:
-    """N12, AG15: grey without value, red for a conflict of a single-valued field, yellow without evidence, else green."""
-    return F.when(n_values == 0, "grey").when(single & (n_distinct > 1), "red").when(~has_evidence, "yellow").otherwise("green")
+def field_status(n_values: Column, conflict: Column, has_evidence: Column, judged: Column) -> Column:
+    """N12, AG15: red for a conflict or a value without evidence, grey for none, yellow for types that need judgement, else green."""
+    return F.when(conflict, "red").when(n_values == 0, "grey").when(~has_evidence, "red").when(judged, "yellow").otherwise("green")
 
 
 def machine_digest(values: Column) -> Column:

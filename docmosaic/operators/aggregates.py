@@ -80,7 +80,7 @@ def dense_days(daily: DataFrame, day: str, measures: list[str], days: int) -> Da
 
 def scorecard(rows: DataFrame) -> DataFrame:
     """AG17: outcomes per category with the total (category null). rows: category, outcome."""
-    names = ("correct", "wrong", "missed", "spurious", "empty")
+    names = ("correct", "wrong", "missed", "hallucinated", "correct_abstention")
     return rows.rollup("category").agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in names), F.count("*").alias("n"))
 
 

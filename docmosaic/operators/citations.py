@@ -12,17 +12,20 @@ from pyspark.sql import functions as F
 from ..functions.text import cited_ids, summary, text
 
 # Fixed tiers per kind of citation.
-TIERS = {"fact": "high", "ops": "high", "section": "medium", "block": "medium", "mention": "low", "heading": "low"}
+TIERS = {"evidence_span": "canonical", "reference": "reference", "fact_mention": "raw", "block": "layout", "section_heading": "layout"}
+# Fixed words before linked texts.
+LINK_WORDS = {"linked_conditions": "IF:", "linked_events": "TRIGGER:", "linked_terms": "TERM", "linked_computes": "COMPUTES:", "linked_measures": "MEASURES:"}
 
 
-def kind_of(c: Column) -> Column:
-    """The kind of a citation by the shape of its id."""
-    return F.when(F.contains(c, F.lit(":m:")), "mention").when(F.contains(c, F.lit(":block:")), "block").when(c.endswith(":heading"), "heading").otherwise("fact")
+def kind_of(c: Column, evidence_type: Column | None = None) -> Column:
+    """The kind of a citation by the shape of its id, then by its evidence type."""
+    k = F.when(F.contains(c, F.lit(":m:")), "fact_mention").when(F.contains(c, F.lit(":block:")), "block").when(c.endswith(":heading"), "section_heading")
+    return (k if evidence_type is None else k.when(evidence_type == "inferred_reference", "reference")).otherwise("evidence_span")
 
 
 def tier(kind: Column) -> Column:
     """Default confidence tier of a kind."""
-    return F.coalesce(F.create_map(*(F.lit(x) for kv in TIERS.items() for x in kv))[kind], F.lit("medium"))
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in TIERS.items() for x in kv))[kind], F.lit("canonical"))
 
 
 def as_citations(rows: DataFrame, default_score: float = 0.5) -> DataFrame:
@@ -38,7 +41,7 @@ def field_citations(fields: DataFrame, docs: DataFrame) -> DataFrame:
     return j.select("ops_id", "doc_id", "doc_title", "effective_date", F.format_string("%s: %s [%s]", "title", "value", tag).alias("snippet"), F.when(F.col("verified"), 0.97).otherwise(0.93).alias("score"))
 
 
-def linked_lines(links: dict[str, str]) -> Column:
+def linked_lines(links: dict[str, str] = LINK_WORDS) -> Column:
     """The arrays of linked texts as lines; links: column to the word before its items."""
     none = F.array().cast("array<string>")
     lines = [F.transform(F.coalesce(F.col(c), none), _prefixed(word)) for c, word in links.items()]
@@ -49,9 +52,9 @@ def _prefixed(word: str):
     return lambda x: F.concat(F.lit(word + " "), x)
 
 
-def badge(verified: Column, disputed: Column) -> Column:
-    """What reviewers said."""
-    return F.when(disputed, "disputed").when(verified, "human").otherwise("none")
+def badge(trust: Column, verified: Column, disputed: Column) -> Column:
+    """human_validated, disputed or nothing."""
+    return F.when((F.coalesce(trust, F.lit("")) == "human_validated") | F.coalesce(verified, F.lit(False)), "human_validated").when(F.coalesce(disputed, F.lit(False)), "disputed")
 
 
 def stamped_corrections(citations: DataFrame, corrected: DataFrame, matches: Column) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.shapes import area
+from ..functions.text import digit_swapped
 
 
 def end_pages(sections: DataFrame, last_page: str = "total_pages") -> DataFrame:
@@ -83,8 +85,6 @@ def grid(cells: DataFrame, table: str) -> DataFrame:
 
 def recovered_rows(lines: DataFrame, table: str, gap: float = 0.6) -> DataFrame:
     """Lines of a table (y, x, h, text) in rows by a running mean of y, columns by greedy centres of x; one table per task, its lines in memory."""
-    import pandas as pd
-
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x"], kind="stable").reset_index(drop=True)
         rows, mean, n = [], None, 0
@@ -138,6 +138,37 @@ def corrected(lines: DataFrame, corrections: DataFrame, missed: DataFrame) -> Da
     return u.where(~(F.col("added") & F.col("__same"))).drop("__same")
 
 
+def _alnum(s: str | None) -> str:
+    return "".join(c for c in (s or "").lower() if c.isalnum())
+
+
+def content_preserved(raw: str | None, proposed: str | None) -> float:
+    """share of the raw letters and digits that stand in runs of two and more in the proposal; 1 for none."""
+    from difflib import SequenceMatcher
+
+    a, b = _alnum(raw), _alnum(proposed)
+    return sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size >= 2) / len(a) if a else 1.0
+
+
+def near_duplicate(a: str | None, b: str | None, least: float = 0.85) -> bool:
+    """two lines of about the same letters and digits."""
+    from difflib import SequenceMatcher
+
+    x, y = _alnum(a), _alnum(b)
+    return bool(x and y) and SequenceMatcher(None, x, y, autojunk=False).ratio() >= least
+
+
+def judged_corrections(lines: DataFrame, guard: float, longest_free: int, preserved: float) -> DataFrame:
+    """lines (raw, proposed, score) with rejected: a digit swapped in a line read with confidence (guard), or a line of longest_free and more letters that keeps less than preserved of them."""
+
+    @F.pandas_udf("double")
+    def kept(raw: pd.Series, proposed: pd.Series) -> pd.Series:
+        return pd.Series([content_preserved(a, b) if len(_alnum(a)) >= longest_free else 1.0 for a, b in zip(raw, proposed, strict=True)], dtype=float)
+
+    swap = (F.col("score") >= guard) & digit_swapped(F.col("raw"), F.col("proposed"))
+    return lines.withColumn("rejected", swap | (kept("raw", "proposed") < preserved))
+
+
 def assembled(lines: DataFrame, claims: DataFrame, fallback: str = "paragraph") -> DataFrame:
     """Block texts: the first block that claims a line (block, kind, line_id) gets it, lines without a block make their own."""
     first = claims.groupBy("line_id").agg(F.min(F.struct("block", "kind")).alias("c"))

@@ -150,7 +150,7 @@ def parse_numbers(spark: SparkSession, d: str) -> DataFrame:
     return n.select("doc_id", F.size("x").cast("long").alias("n"), F.array_max("x").alias("high"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, list_concat([x for x in regexp_extract_all(text, '\d[\d.,]*\d|\d') if regexp_matches(x, '\d\.\d|\d,\d{3}|^\d{5,}$')], regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS l FROM documents)
+@query(r"""WITH t AS (SELECT doc_id, list_concat([x for x in regexp_extract_all(text, '\d[\d,]*\.\d+|\d{1,3}(?:,\d{3})+|\d{5,}') if length(regexp_replace(x, '[^0-9]', '', 'g')) >= CASE WHEN contains(x, '.') THEN 3 ELSE 4 END], regexp_extract_all(text, '[\w.+-]+@[\w-]+\.[\w.]+')) AS l FROM documents)
 SELECT doc_id, array_to_string(list_sort(list_distinct(l)), ' ') AS tokens FROM t WHERE len(l) > 0""")
 def distinctive_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.value_tokens(F.col("text")).alias("t")).where(F.size("t") > 0).select("doc_id", F.array_join("t", " ").alias("tokens"))
@@ -354,13 +354,13 @@ def review_heatmap(spark: SparkSession, d: str) -> DataFrame:
     return A.review_counts(r, ["source", "lang"])
 
 
-@query("""WITH r AS (SELECT lang AS category, CASE WHEN quality IS NULL AND n_chars < 1000 THEN 'empty' WHEN quality IS NULL THEN 'spurious' WHEN n_chars < 1000 THEN 'missed' WHEN (n_chars > 3000) = (quality = 1) THEN 'correct' ELSE 'wrong' END AS o FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id))
-SELECT category, count(*) FILTER (o = 'correct') AS correct, count(*) FILTER (o = 'wrong') AS wrong, count(*) FILTER (o = 'missed') AS missed, count(*) FILTER (o = 'spurious') AS spurious, count(*) FILTER (o = 'empty') AS empty, count(*) AS n FROM r GROUP BY ROLLUP (category)""")
+@query("""WITH r AS (SELECT lang AS category, CASE WHEN quality IS NULL AND n_chars < 1000 THEN 'correct_abstention' WHEN quality IS NULL THEN 'hallucinated' WHEN n_chars < 1000 THEN 'missed' WHEN (n_chars > 3000) = (quality = 1) THEN 'correct' ELSE 'wrong' END AS o FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id))
+SELECT category, count(*) FILTER (o = 'correct') AS correct, count(*) FILTER (o = 'wrong') AS wrong, count(*) FILTER (o = 'missed') AS missed, count(*) FILTER (o = 'hallucinated') AS hallucinated, count(*) FILTER (o = 'correct_abstention') AS correct_abstention, count(*) AS n FROM r GROUP BY ROLLUP (category)""")
 def scorecard(spark: SparkSession, d: str) -> DataFrame:
     lab = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     r = table(spark, d, "documents").select("doc_id", "lang", "n_chars").join(lab, "doc_id", "left")
     q, n = F.col("quality"), F.col("n_chars")
-    o = F.when(q.isNull() & (n < 1000), "empty").when(q.isNull(), "spurious").when(n < 1000, "missed").when((n > 3000) == (q == 1), "correct").otherwise("wrong")
+    o = F.when(q.isNull() & (n < 1000), "correct_abstention").when(q.isNull(), "hallucinated").when(n < 1000, "missed").when((n > 3000) == (q == 1), "correct").otherwise("wrong")
     return A.scorecard(r.select(F.col("lang").alias("category"), o.alias("outcome")))
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import aggregates, joins, predicates, ranking
 from .schema import tool
 
+# Fixed words that any figure's title has.
+DIAGRAM_WORDS = ["schematic", "schematics", "diagram", "diagrams", "drawing", "drawings", "figure", "figures", "layout", "layouts", "flowsheet", "flowchart", "plan"]
+
 
 def _vector(rows: DataFrame, query: list[float], k: int, ids: list | None, role: str | None, floor: float, key: str) -> DataFrame:
     # Visibility comes before the cut, so that hidden rows never crowd out visible ones.
@@ -93,6 +96,6 @@ def find_orphan_fragments(mentions: DataFrame, words: list[str], k: int = 8, ids
 @tool
 def find_document_assets(assets: DataFrame, confidential: DataFrame, words: list[str], k: int = 8, ids: list | None = None) -> DataFrame:
     """Pages with figures by title words; generic words don't count."""
-    own = [w for w in words if w not in ("diagram", "figure", "drawing", "schematic", "image", "picture", "chart", "layout", "plan")]
+    own = [w for w in words if w not in DIAGRAM_WORDS]
     a = joins.assets_without(assets.where(predicates.in_scope(F.col("doc_id"), ids)), confidential)
     return a.withColumn("hits", ranking.word_hits(F.col("title"), own)).where("hits > 0").orderBy(F.desc("hits"), "doc_id", "page_no").limit(k)
