@@ -7,15 +7,16 @@ segment within its allowance. So a set is indexed by the fingerprint of each of
 by the fingerprints of its one-deletion neighbourhood too. How many segments get which allowance is what costs least under a model
 of index entries and chance agreements (plan). Every candidate pair is verified exactly on the whole sets of 64-bit shingle hashes.
 
-Equal sets are one node from the start. Nodes of one index entry are first verified against its smallest node only; what is
-connected then needs no further test, and only pairs from different components are verified all. So no link that joins anything is
+Equal sets are one node from the start. Nodes are first verified against the most shared node they share an entry with; what is
+connected then needs no further test, and only pairs from different components are verified all, first by a sketch that rules out
+most of those that aren't similar; entries of very many nodes are passed over where the others suffice. So no link that joins anything is
 lost, and large groups of copies never expand into pairs.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -28,6 +29,8 @@ from .common import cut, drop_cut, mix, shingle_set, words
 from .components import components
 
 FLUSH, STAR = 1 << 18, 256
+#: Entries to spare for hot ones, what more nodes than HOT makes one hot, and what a chance agreement costs in entries.
+LOOSE, HOT, CHANCE = 6, 64, 30
 GOLD, SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -41,6 +44,7 @@ class Threshold(NamedTuple):
 class Plan(NamedTuple):
     ones: int  # the first segments have allowance 1, the others 0
     spare: int  # so many empty segments of allowance 0 need no entry
+    loose: int  # so many further entries need not be looked at
     bounds: np.ndarray  # where segments start in the hash universe
 
 
@@ -65,25 +69,37 @@ def plan(k: int, t: Threshold) -> Plan | None:
         return None
     best = None
     for ones in range((h + 1) // 2 + 1 + h % 2):
-        spare = 0
+        spare = loose = 0
         zeros = max(0, h + 1 - 2 * ones)
         if zeros >= 8:
-            spare = 1 + zeros // 64
-            zeros += spare
+            if ones:
+                continue
+            spare, loose = 1 + zeros // 64, LOOSE
+            zeros += spare + loose
         if ones + zeros == 0:
             continue
         g = low / (ones + zeros)
-        cost = zeros * (1 + 200 * math.exp(-g)) + ones * (1 + g) * (1 + 200 * math.exp(1 - g))
+        cost = zeros * (1 + CHANCE * math.exp(-g)) + ones * (1 + g) * (1 + CHANCE * math.exp(1 - g))
         if best is None or cost < best[0]:
-            best = cost, ones, zeros, spare
-    _, ones, zeros, spare = best
+            best = cost, ones, zeros, spare, loose
+    _, ones, zeros, spare, loose = best
     m = ones + zeros
-    return Plan(ones, spare, np.array([-(-(i << 64) // m) for i in range(m)], np.uint64))
+    return Plan(ones, spare, loose, np.array([-(-(i << 64) // m) for i in range(m)], np.uint64))
+
+
+def least_loose(t: Threshold) -> int:
+    """The set size from which both joins of a set have loose entries."""
+    low, at, k = 1, 1, 0
+    while low < 1 << 13:  # beyond, bands only grow in proportion
+        if (p := plan(k, t)) is None or not p.loose:
+            at = low * t.den // t.num + 1
+        low, k = low * t.den // t.num + 1, k + 1
+    return at
 
 
 def entries(s: np.ndarray, t: Threshold) -> np.ndarray:
-    """Fingerprints under which a sorted shingle set is indexed, in its own band's join and in the next one."""
-    out = []
+    """Fingerprints under which a sorted shingle set is indexed, in its own band's join and in the next one; the lowest bit tells the two apart."""
+    out: list[np.ndarray] = []
     low = band(len(s), t)
     mixed = mix(s ^ SALT)
     upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
@@ -97,11 +113,12 @@ def entries(s: np.ndarray, t: Threshold) -> np.ndarray:
         empty = starts == ends
         empty[: p.ones] = False
         want = ~empty if empty.sum() <= p.spare else np.ones(len(starts), bool)
-        out.append(mix(full[want] ^ mix(key[want])))
+        made = [mix(full[want] ^ mix(key[want]))]
         if p.ones:
             n = int(ends[p.ones - 1])
             of = np.repeat(np.arange(p.ones), (ends - starts)[: p.ones])
-            out.append(mix((full[of] - mixed[:n]) ^ mix(key[of])))
+            made.append(mix((full[of] - mixed[:n]) ^ mix(key[of])))
+        out += [m & ~np.uint64(1) | np.uint64(k & 1) for m in made]
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -174,23 +191,46 @@ def meetings(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(scan, schema)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """How many hashes of a set fall into each of 2**k ranges, about as many as the set has elements."""
+    k = max(3, int(len(s) - 1).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k), 255).astype(np.uint8)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, t: Threshold) -> bool:
+    """False only for sets that aren't: they differ in at least as many elements as their sketches differ in sum."""
+    x, y = a[4:].astype(np.int64), b[4:].astype(np.int64)
+    if len(x) != len(y):
+        n = min(len(x), len(y))
+        x, y = x.reshape(n, -1).sum(1), y.reshape(n, -1).sum(1)
+    both = int(a[:4].view(np.uint32)[0]) + int(b[:4].view(np.uint32)[0])
+    return int(np.abs(x - y).sum()) * (t.den + t.num) <= both * (t.den - t.num)
+
+
+def are_similar(a: np.ndarray, b: np.ndarray, t: Threshold) -> bool:
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return t.den * both >= t.num * (len(a) + len(b) - both)
+
+
 def shingle_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """(node, shingles binary) of the documents that reps (rep, node) names."""
+    """(node, shingles, sketch) of the documents that reps (rep, node) names; a repeated row gives repeated ones."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, out = [], []
+            node, out, short = [], [], []
             for want, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = shingle_set(words(t.as_py()), n)
                 if set_hash(s) == want:  # ids may repeat with other texts
                     node.append(want)
                     out.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(out, pa.binary())], ["node", "shingles"])
+                    short.append(len(s).to_bytes(4, "little") + sketch(s).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(out, pa.binary()), pa.array(short, pa.binary())], ["node", "shingles", "sketch"])
 
-    return docs.select("doc_id", "text").join(reps, F.col("doc_id") == F.col("rep")).select("node", "text").mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+    return docs.select("doc_id", "text").join(reps, F.col("doc_id") == F.col("rep")).select("node", "text").mapInArrow(sets, "node long, shingles binary, sketch binary")
 
 
-def verified(sets: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
-    """(a, b) of the pairs (node, pivot) whose sets are similar. A pivot's nodes come in groups of about STAR, each with the pivot's set before them."""
+def passing(sets: DataFrame, payload: str, pairs: DataFrame, test: Callable[[np.ndarray, np.ndarray, Threshold], bool], t: Threshold) -> DataFrame:
+    """(a, b) of the pairs (node, pivot) whose payloads pass the test. A pivot's nodes come in groups of about STAR, each with the pivot's set before them."""
     groups = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / STAR).alias("groups"))
     g = pairs.join(groups, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.col("groups")))
     heads = groups.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.col("pivot").alias("node"), F.lit(0).alias("rank"))
@@ -201,17 +241,15 @@ def verified(sets: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
         for b in batches:
             a, c = [], []
             for pivot, part, node, rank, raw in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
-                s = np.frombuffer(raw.as_py(), np.uint64)
+                s = np.frombuffer(raw.as_py(), np.uint8)
                 if rank == 0:
                     now, base = (pivot, part), s
-                elif now == (pivot, part):
-                    both = len(np.intersect1d(base, s, assume_unique=True))
-                    if t.den * both >= t.num * (len(base) + len(s) - both):
-                        a.append(node)
-                        c.append(pivot)
+                elif now == (pivot, part) and test(base, s, t):
+                    a.append(node)
+                    c.append(pivot)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
-    rows = members.join(sets, "node").select("pivot", "part", "node", "rank", "shingles")
+    rows = members.join(sets.select("node", payload), "node").select("pivot", "part", "node", "rank", payload)
     return rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "rank").mapInArrow(compare, "a long, b long")
 
 
@@ -227,24 +265,35 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
     met = cut(meetings(index_rows(docs, n, t)))
     known = met.where("n is not null").select("doc_id", "n", "node")
     hits = met.where("n is null").select("sig", "node", "pivot")
-    held = hits.select("sig", "node").union(hits.select("sig", "pivot")).distinct()
+    held = cut(hits.select("sig", "node").union(hits.select("sig", "pivot")).distinct())
     reps = known.groupBy("node").agg(F.min("doc_id").alias("rep")).join(held.select("node").distinct(), "node")
     sets = cut(shingle_sets(docs, reps, n))
-    # First each node against the smallest node it shares an entry with.
-    tried = cut(hits.groupBy("node").agg(F.min("pivot").alias("pivot")))
-    links = cut(verified(sets, tried, t))
+    # First each node against the one with most shared entries that it shares an entry with: the least edited of a group of copies.
+    degree = held.groupBy("node").agg(F.count("*").alias("k"))
+    rank = F.struct("k", "node")
+    ranked = cut(held.join(degree, "node").select("sig", "node", "k"))
+    top = ranked.groupBy("sig").agg(F.max(rank).alias("top"))
+    tried = cut(ranked.join(top, "sig").groupBy("node").agg(F.max("top").alias("top")).select("node", F.col("top.node").alias("pivot")).where("node <> pivot"))
+    links = cut(passing(sets, "shingles", tried, are_similar, t))
     label = components(links)
-    # Then every pair that shares an entry but is not connected yet.
+    # Then every pair that shares an entry but is not connected yet. Two similar sets share at least 1 + LOOSE entries of one join, so
+    # a set with at most LOOSE hot entries there is found by its others; only sets with more hot ones are joined on them, too.
     apart = held.join(label, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    mixed = apart.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
-    open_ = cut(apart.join(mixed, "sig"))
+    mixed = apart.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), (F.count("*") > HOT).alias("hot")).where("low <> high").select("sig", "hot")
+    every = cut(apart.join(mixed, "sig"))
+    sizes = known.select("node", F.col("n").alias("n_set")).distinct()
+    hot = every.where("hot").withColumn("part", F.pmod("sig", F.lit(2)))
+    heavy = hot.groupBy("node", "part").agg(F.count("*").alias("k")).join(sizes, "node").where((F.col("k") > LOOSE) | (F.col("n_set") < least_loose(t))).select("node", "part")
+    open_ = cut(every.where("not hot").select("sig", "node", "label").union(hot.join(heavy, ["node", "part"], "left_semi").select("sig", "node", "label")))
     a, b = open_.alias("a"), open_.alias("b")
     rest = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.label") < F.col("b.label"))).select(F.greatest("a.node", "b.node").alias("node"), F.least("a.node", "b.node").alias("pivot")).distinct()
-    rest = cut(rest.join(tried, ["node", "pivot"], "left_anti"))
-    more = cut(verified(sets, rest, t))
+    both = tried.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot"))
+    rest = cut(rest.join(both, ["node", "pivot"], "left_anti"))
+    near = cut(passing(sets, "sketch", rest, may_be_similar, t).distinct().select(F.col("a").alias("node"), F.col("b").alias("pivot")))
+    more = cut(passing(sets, "shingles", near, are_similar, t))
     final = components(links.union(more))
     member = known.join(final, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("class"))
     least = member.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     out = member.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
-    drop_cut(tried, label, open_, rest)
+    drop_cut(ranked, tried, label, every, open_, rest, near, sets, held)
     return out
