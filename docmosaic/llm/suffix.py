@@ -88,19 +88,33 @@ def batch(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
+def settled_first(g: np.ndarray, u: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Rows for the shuffle. Stretches that repeat among these rows are settled: they travel spread out, with null for u, and two rows of one of them stand for all, so that no rank gets more than two rows from here."""
+    order = np.lexsort((u, g))
+    g, u, key, at = g[order], u[order], key[order], at[order]
+    same = (g[1:] == g[:-1]) & (u[1:] == u[:-1])
+    many = np.append(False, same) | np.append(same, False)
+    first = many & ~np.append(False, same)
+    spread = mix(key[many].view(np.uint64) ^ at[many].astype(np.uint64) * np.uint64(0xD1342543DE82EF95)).view(np.int64)
+    parts = [~many, first, first]
+    n, k = sum(int(p.sum()) for p in parts), len(spread)
+    cols = [np.concatenate([*(c[p] for p in parts), last]) for c, last in ((g, spread), (u, spread), (key, key[many]), (at, at[many]))]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], mask=np.arange(n + k) >= n), pa.array(cols[2]), pa.array(cols[3])], ["g", "u", "key", "at"])
+
+
 def sampled(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for b in batches:
-            rows, held = [], 0
             for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 g, u, at = samples(t.as_py() or b"", length, gram)
                 rows.append((g, u, np.full(len(g), key, np.int64), at))
                 held += len(g)
                 if held > 1 << 18:
-                    yield batch([np.concatenate(x) for x in zip(*rows, strict=True)], ["g", "u", "key", "at"])
+                    yield settled_first(*(np.concatenate(x) for x in zip(*rows, strict=True)))
                     rows, held = [], 0
-            if held:
-                yield batch([np.concatenate(x) for x in zip(*rows, strict=True)], ["g", "u", "key", "at"])
+        if held:
+            yield settled_first(*(np.concatenate(x) for x in zip(*rows, strict=True)))
 
     return docs.select("key", "text").mapInArrow(run, "g long, u long, key long, at long")
 
@@ -125,9 +139,13 @@ def ranked(rows: DataFrame) -> DataFrame:
                 yield batch([cols[2][1:-1][some], cols[3][1:-1][some], cols[0][1:-1][some], k[some].astype(np.int32)], ["key", "at", "g", "kind"])
 
         for b in batches:
-            if not b.num_rows:
+            done = b.column(1).is_null().to_numpy(zero_copy_only=False)
+            if done.any():
+                key, at = (b.column(i).to_numpy()[done] for i in (2, 3))
+                yield batch([key, at, np.zeros(len(key), np.int64), np.full(len(key), DUP, np.int32)], ["key", "at", "g", "kind"])
+            if done.all():
                 continue
-            cols = [b.column(i).to_numpy() for i in range(4)]
+            cols = [b.column(i).filter(pa.array(~done)).to_numpy() for i in range(4)]
             if held is None:  # a row before the first that equals no other
                 held = [np.array([~c[0]]) for c in cols]
             cols = [np.append(h, c) for h, c in zip(held, cols, strict=True)]
