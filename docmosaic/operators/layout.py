@@ -158,7 +158,7 @@ def near_duplicate(a: str | None, b: str | None, least: float = 0.85) -> bool:
     return bool(x and y) and SequenceMatcher(None, x, y, autojunk=False).ratio() >= least
 
 
-def judged_corrections(lines: DataFrame, guard: float, longest_free: int, preserved: float) -> DataFrame:
+def judged_corrections(lines: DataFrame, guard: float = 0.90, longest_free: int = 5, preserved: float = 0.50) -> DataFrame:
     """lines (raw, proposed, score) with rejected: a digit swapped in a line read with confidence (guard), or a line of longest_free and more letters that keeps less than preserved of them."""
 
     @F.pandas_udf("double")

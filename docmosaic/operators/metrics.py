@@ -18,7 +18,7 @@ def overview(docs: DataFrame, jobs: DataFrame, fields: DataFrame) -> DataFrame:
     return j.withColumn("status", s)
 
 
-def extraction_status(values: DataFrame, judged: tuple[str, ...] = ("free_text", "reference")) -> DataFrame:
+def extraction_status(values: DataFrame, judged: tuple[str, ...] = ("enum", "presence_enum", "free_text")) -> DataFrame:
     """AG15: per document and field the colour. values: doc_id, full_key, type, value, single, has_evidence."""
     g = values.groupBy("doc_id", "full_key").agg(F.count("value").alias("n"), F.count_distinct(F.lower(F.trim("value"))).alias("k"), F.bool_or("single").alias("single"), F.bool_or("has_evidence").alias("ev"), F.bool_or(F.col("type").isin(*judged)).alias("judged"))
     return g.select("doc_id", "full_key", field_status(F.col("n"), F.col("single") & (F.col("k") > 1), F.col("ev"), F.col("judged")).alias("status"))
