@@ -29,8 +29,8 @@ from .common import cut, drop_cut, mix, shingle_set, words
 from .components import components
 
 FLUSH, STAR = 1 << 18, 256
-#: Entries to spare for hot ones, what more nodes than HOT makes one hot, and what a chance agreement costs in entries.
-LOOSE, HOT, CHANCE = 6, 64, 30
+#: Entries that similar sets share beyond one, how many of them may be hot, what more nodes than HOT makes hot, what a chance agreement costs in entries.
+LOOSE, BUDGET, HOT, CHANCE = 12, 4, 64, 30
 GOLD, SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -253,6 +253,18 @@ def passing(sets: DataFrame, payload: str, pairs: DataFrame, test: Callable[[np.
     return rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "rank").mapInArrow(compare, "a long, b long")
 
 
+def shared_enough(held: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
+    """held without the sets that share too few entries of one join to have a similar one: 1 + LOOSE from a size of least on. Twice, as each removal leaves others with fewer."""
+    part = F.pmod("sig", F.lit(2)).alias("part")
+    for _ in range(2):
+        live = held.groupBy("node", part).agg(F.count("*").alias("k")).join(sizes, "node").where((F.col("k") > LOOSE) | (F.col("n_set") < least)).select("node", "part")
+        left = cut(held.withColumn("part", part).join(live, ["node", "part"], "left_semi").select("sig", "node"))
+        several = left.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
+        held = cut(left.join(several, "sig", "left_semi"))
+        drop_cut(left)
+    return held
+
+
 def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id per row of docs (doc_id, text): connected components of the similarity join.
 
@@ -265,7 +277,9 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
     met = cut(meetings(index_rows(docs, n, t)))
     known = met.where("n is not null").select("doc_id", "n", "node")
     hits = met.where("n is null").select("sig", "node", "pivot")
-    held = cut(hits.select("sig", "node").union(hits.select("sig", "pivot")).distinct())
+    least = least_loose(t)
+    sizes = known.select("node", F.col("n").alias("n_set")).distinct()
+    held = shared_enough(cut(hits.select("sig", "node").union(hits.select("sig", "pivot")).distinct()), sizes, least)
     reps = known.groupBy("node").agg(F.min("doc_id").alias("rep")).join(held.select("node").distinct(), "node")
     sets = cut(shingle_sets(docs, reps, n))
     # First each node against the one with most shared entries that it shares an entry with: the least edited of a group of copies.
@@ -276,17 +290,18 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
     tried = cut(ranked.join(top, "sig").groupBy("node").agg(F.max("top").alias("top")).select("node", F.col("top.node").alias("pivot")).where("node <> pivot"))
     links = cut(passing(sets, "shingles", tried, are_similar, t))
     label = components(links)
-    # Then every pair that shares an entry but is not connected yet. Two similar sets share at least 1 + LOOSE entries of one join, so
-    # a set with at most LOOSE hot entries there is found by its others; only sets with more hot ones are joined on them, too.
+    # Then every pair that shares enough entries but is not connected yet. Two similar sets share at least 1 + LOOSE entries of one
+    # join, so a set with at most BUDGET hot ones there is found by its others; sets with more are joined on the hot ones, too.
     apart = held.join(label, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
     mixed = apart.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), (F.count("*") > HOT).alias("hot")).where("low <> high").select("sig", "hot")
-    every = cut(apart.join(mixed, "sig"))
-    sizes = known.select("node", F.col("n").alias("n_set")).distinct()
-    hot = every.where("hot").withColumn("part", F.pmod("sig", F.lit(2)))
-    heavy = hot.groupBy("node", "part").agg(F.count("*").alias("k")).join(sizes, "node").where((F.col("k") > LOOSE) | (F.col("n_set") < least_loose(t))).select("node", "part")
-    open_ = cut(every.where("not hot").select("sig", "node", "label").union(hot.join(heavy, ["node", "part"], "left_semi").select("sig", "node", "label")))
+    every = cut(apart.join(mixed, "sig").join(sizes, "node").withColumn("small", F.col("n_set") < least).withColumn("part", F.pmod("sig", F.lit(2))))
+    heavy = every.where("hot").groupBy("node", "part").agg(F.count("*").alias("k"), F.max("small").alias("s")).where((F.col("k") > BUDGET) | F.col("s")).select("node", "part")
+    columns = ["sig", "node", "label", "small"]
+    open_ = cut(every.where("not hot").select(*columns).union(every.where("hot").join(heavy, ["node", "part"], "left_semi").select(*columns)))
     a, b = open_.alias("a"), open_.alias("b")
-    rest = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.label") < F.col("b.label"))).select(F.greatest("a.node", "b.node").alias("node"), F.least("a.node", "b.node").alias("pivot")).distinct()
+    pair = [F.greatest("a.node", "b.node").alias("node"), F.least("a.node", "b.node").alias("pivot")]
+    met_at = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.label") < F.col("b.label"))).select(*pair, (F.col("a.small") | F.col("b.small")).alias("small"))
+    rest = met_at.groupBy("node", "pivot").agg(F.count("*").alias("k"), F.max("small").alias("s")).where((F.col("k") > LOOSE - BUDGET) | F.col("s")).select("node", "pivot")
     both = tried.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot"))
     rest = cut(rest.join(both, ["node", "pivot"], "left_anti"))
     near = cut(passing(sets, "sketch", rest, may_be_similar, t).distinct().select(F.col("a").alias("node"), F.col("b").alias("pivot")))

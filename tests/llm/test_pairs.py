@@ -38,6 +38,12 @@ def test_near_duplicates_equal_brute_force(spark):
         assert got == brute_components(cases.rows(seed), n, num, den)
 
 
+def test_hot_entries_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "HOT", 1)
+    got = sorted(tuple(r) for r in setjoin.near_duplicates(cases.frame(spark, 5), 2, 80, 100).collect())
+    assert got == brute_components(cases.rows(5), 2, 80, 100)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert setjoin.near_duplicates(cases.none(spark)).collect() == []
 
