@@ -127,3 +127,24 @@ def test_leaks_equal_brute_force(spark):
     kept = decontam.without_leaks(df, bench)
     assert kept.dtypes == df.dtypes and {r.doc_id for r in kept.collect()} == {d[0] for d in docs} - {d for d, _ in want}
     assert decontam.leaks(cases.none(spark), bench).collect() == [] == decontam.leaks(df, bench.limit(0)).collect()
+
+
+def test_no_accepted_overlap_without_a_seed(spark):
+    import itertools
+
+    docs, want, items = [], set(), []
+    for n in range(5, 16):
+        item = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        w = min(13, n)
+        for gone in itertools.chain.from_iterable(itertools.combinations(range(n), k) for k in range(4)):
+            part = [f"z{k}" if k in gone else x for k, x in enumerate(item)]
+            docs.append((len(docs), " ".join(["p", "q", *part, "r"])))
+            if max(sum(k not in gone for k in range(at, at + w)) for at in range(n - w + 1)) >= 0.8 * w:  # all alignments, no seeds
+                want.add((docs[-1][0], n))
+    items += [(k, " ".join(f"s{k}x{j}" for j in range(k))) for k in range(1, 5)]
+    docs += [(10_000 + k, f"p {text} r") for k, text in items[-4:]] + [(10_010, "s4x0 s4x1 zz s4x3")]
+    want |= {(10_000 + k, k) for k in range(1, 5)}
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench, shortest=1).collect()} == want
+    assert {tuple(r) for r in decontam.leak_report(df, bench).collect()} == {x for x in want if x[1] >= 6}
