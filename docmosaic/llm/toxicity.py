@@ -61,12 +61,7 @@ class Scores:
 
     def of(self, tokens: list[bytes]) -> np.ndarray:
         known, stems = self.words, self.stems
-        out = np.fromiter((known[w] if w in known else stems.get(stem(w), -DRIFT) for w in tokens), float, len(tokens))
-        seen: dict[bytes, int] = {}
-        for i in np.flatnonzero(out > 0).tolist():  # the k-th use of a token in a text adds a k-th of its score
-            seen[tokens[i]] = k = seen.get(tokens[i], 0) + 1
-            out[i] /= k
-        return out
+        return np.fromiter((known[w] if w in known else stems.get(stem(w), -DRIFT) for w in tokens), float, len(tokens))
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:

@@ -135,6 +135,26 @@ def test_classifiers_on_held_out_rows(spark, toxic):
     assert len({r.score for r in got if r.doc_id in (900, 901)}) == 1
 
 
+def test_every_copy_of_a_toxic_passage_is_found(spark):
+    rng = random.Random(4)
+    bad = ["zorgax", "zorgil", "qixxer", "vubbol", "wokkan"]
+    x, y = [], []
+    for i in range(300):
+        w = cases.prose(rng, rng.randint(20, 90)).split()
+        if i % 3 == 0:
+            w[10:10] = rng.sample(bad, 4)
+        x.append((i, " ".join(w)))
+        y.append((i, 1, int(i % 3 == 0)))
+    passage = " ".join(bad)
+    clean = [cases.prose(rng, 400) for _ in range(12)]
+    docs = [*x, (1000, f" {passage} ".join(clean)), (1001, f"{clean[0]} {passage} {clean[1]}")]
+    got = {r.doc_id: r for r in toxicity.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), labels(spark, y)).collect()}
+    text, found = docs[-2][1].split(), [(p.first, p.end) for p in got[1000].passages]
+    assert got[1001].n_passages == 1
+    for at in (i for i, w in enumerate(text) if w == bad[0]):
+        assert any(first <= at and at + 5 <= end for first, end in found)
+
+
 def test_classifiers_without_labels_or_rows(spark):
     docs = cases.frame(spark)
     for f in (nbsvm.score_quality, toxicity.score_toxicity):
