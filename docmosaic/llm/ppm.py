@@ -7,7 +7,8 @@ never holds, stands before a text and ends it.
 
 Trained, the trie doesn't change any more, so each context's whole distribution with escapes and exclusions is worked out once per
 worker and a text is scored by table look-up. Counts cover all training texts and are summed by Spark; the model keeps all
-contexts up to two bytes and the ``contexts`` most frequent of three bytes (a documented bound of the model, 48 MB of tables).
+contexts. Those up to two bytes and the ``contexts`` most frequent of three bytes are broadcast (48 MB of tables); what a text has in
+the others is counted and looked up by a shuffle join on the context.
 
 The base score looks each token's count up in the vocabulary of all training tokens: the ``frequent`` most frequent tokens (bound of the
 broadcast) while the text is read, all others by a shuffle join on the token.
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import SPACES, ascii_lower, cut, fold
 
@@ -118,6 +120,11 @@ class Tables:
             out[at : at + len(c)] = blend(dense, of(shorter(c)) if of else lower[shorter(c)])
         return out, where
 
+    def shorter(self, ctx: np.ndarray) -> np.ndarray:
+        """Distributions (rows of 256) in the last two bytes of contexts of three bytes."""
+        r2 = self.of2[ctx & 0xFFFF]
+        return 10.0 ** np.where((r2 >= 0)[:, None], self.l2[r2] if len(self.l2) else 0.0, self.l1[ctx & 0xFF]).astype(float)
+
     def code_lengths(self, code: np.ndarray) -> np.ndarray:
         sym, ctx = code & 255, code >> 8
         r3 = self.of3[ctx]
@@ -159,8 +166,8 @@ def adaptive_log10(text: bytes, order: int = ORDER) -> float:
     return out
 
 
-def trained(train: DataFrame, contexts: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Follower counts by order, as code (context and symbol) and count. Those of three bytes come from the most frequent contexts."""
+def trained(train: DataFrame, contexts: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], DataFrame | None]:
+    """Follower counts by order, as code (context and symbol) and count, those of three bytes in the most frequent contexts; and the rows (code, n) of all other contexts, if there are any."""
     g = cut(gram_counts(train))
     out = []
     for k in range(3):
@@ -170,7 +177,38 @@ def trained(train: DataFrame, contexts: int) -> list[tuple[np.ndarray, np.ndarra
     kept = F.broadcast(by.orderBy(F.desc("n"), "ctx").limit(contexts).select("ctx"))
     rows = g.join(kept, F.shiftright("code", 8) == F.col("ctx"), "left_semi").select("code", "n").toArrow()
     out.append((rows.column("code").to_numpy(), rows.column("n").to_numpy()))
-    return out
+    rare = g.join(kept, F.shiftright("code", 8) == F.col("ctx"), "left_anti").select("code", "n")
+    return out, cut(rare) if by.count() > contexts else None
+
+
+def rare_lengths(rare: DataFrame, shared) -> DataFrame:
+    """ctx, known (log10 probability by symbol), escape (what log10 of a shorter context's probability changes by elsewhere) of each rare context."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = tables_of(*shared.value[::2])
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                ctx, row = part.column(0).to_numpy(), np.repeat(np.arange(part.num_rows), [len(x) for x in part.column(1)])
+                n = np.zeros((len(ctx), 256))
+                n[row, part.column(1).flatten().to_numpy()] = part.column(2).flatten().to_numpy()
+                seen, total = n > 0, n.sum(1)
+                kinds, left = seen.sum(1), np.where(seen, 0.0, tables.shorter(ctx)).sum(1)
+                bottom = total + np.where(left > 0, kinds, 0)
+                sym = [np.flatnonzero(x) for x in seen]
+                known = [np.log10(n[i, x] / bottom[i]) for i, x in enumerate(sym)]
+                yield pa.RecordBatch.from_arrays([pa.array(ctx), pa.array(sym, pa.list_(pa.int32())), pa.array(known, pa.list_(pa.float64())), pa.array(np.log10(np.where(left > 0, kinds / bottom / np.where(left > 0, left, 1.0), 1.0)))], ["ctx", "sym", "known", "escape"])
+
+    each = rare.groupBy(F.shiftright("code", 8).alias("ctx")).agg(F.collect_list(F.struct(F.col("code").bitwiseAND(255).cast("int").alias("sym"), "n")).alias("x"))  # 256 symbols at most
+    got = each.select("ctx", F.col("x.sym"), F.col("x.n")).mapInArrow(work, "ctx long, sym array<int>, known array<double>, escape double")
+    return got.select("ctx", F.map_from_arrays("sym", "known").alias("known"), "escape")
+
+
+def tables_of(name: str, model: list[tuple[np.ndarray, np.ndarray]]) -> Tables:
+    if name not in _tables:  # once per worker
+        _tables.clear()
+        _tables[name] = Tables(model)
+    return _tables[name]
 
 
 _tables: dict[str, Tables] = {}
@@ -194,15 +232,25 @@ def score_documents(docs: DataFrame, contexts: int = 49_152, frequent: int = 50_
     top = vocab.orderBy(F.desc("c"), "token").limit(frequent)
     known = {r.token.encode(): math.log10(r.c + 0.5) for r in top.toLocalIterator()}
     end = math.log10(n_train + 0.5)
-    counts = trained(train.select(F.col("text").cast("binary").alias("text")), contexts) if mode == "pretrained" else []
+    counts, rare_contexts = trained(train.select(F.col("text").cast("binary").alias("text")), contexts) if mode == "pretrained" else ([], None)
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, known, counts))
+    far = None
+    if rare_contexts is not None:  # a bit for each context of three bytes, 2 MB
+        bits = np.zeros(1 << 24, bool)
+        bits[rare_contexts.select(F.shiftright("code", 8).cast("int").alias("ctx")).distinct().toArrow().column("ctx").to_numpy()] = True
+        far = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    ids = docs.schema["doc_id"].dataType
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, common, model = shared.value
-        if model and name not in _tables:  # once per worker
-            _tables.clear()
-            _tables[name] = Tables(model)
-        names = ["doc_id", "held_out", "uid", "n_tokens", "n_known", "base", "score", "token", "n"]
+        tables = tables_of(name, model) if model else None
+        names = ["doc_id", "held_out", "uid", "n_tokens", "n_known", "base", "score", "token", "n", "code", "low"]
+        kinds = [to_arrow_type(ids), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64(), pa.int64(), pa.float64()]
+
+        def rows_of(k: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(k, x)) for c, x in zip(names, kinds, strict=True)], names)
+
         for b in batches:
             n_tokens, n_known, base = [], [], []
             rare, of, times = [], [], []
@@ -219,27 +267,36 @@ def score_documents(docs: DataFrame, contexts: int = 49_152, frequent: int = 50_
                         of.append(uid)
                         times.append(n)
             if model:
-                scores, part = np.zeros(b.num_rows), -1
+                scores, part, numbers = np.zeros(b.num_rows), -1, np.array(uids, np.int64)
                 for raw, starts in framed(t.as_py() for t in b.column(3)):
                     code, at = grams(raw, starts)
-                    lengths = np.add.reduceat(_tables[name].code_lengths(code).astype(float), at)
+                    each = tables.code_lengths(code).astype(float)
+                    if far is not None and (away := np.flatnonzero(far.value[code >> 11] >> (7 - (code >> 8 & 7)) & 1)).size:
+                        text = part + np.cumsum(starts >= 0)[np.searchsorted(at, away, "right") - 1]
+                        key, first, n = np.unique(text.astype(np.uint64) << np.uint64(32) | code[away].astype(np.uint64), return_index=True, return_counts=True)
+                        yield rows_of(len(key), uid=pa.array(numbers[(key >> np.uint64(32)).astype(np.int64)]), n=pa.array(n.astype(np.int64)), code=pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)), low=pa.array(each[away[first]]))
+                        each[away] = 0.0
+                    lengths = np.add.reduceat(each, at)
                     for begin, x in zip(starts.tolist(), lengths.tolist(), strict=True):
                         part += begin >= 0
                         scores[part] += x
             else:
                 scores = np.array([adaptive_log10(t.as_py().lower()) for t in b.column(3)])
-            k = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], names)
-            if k := len(rare):
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, b.column(0).type), pa.nulls(k, pa.bool_()), pa.array(of, pa.int64()), *(pa.nulls(k, x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names)
+            yield rows_of(b.num_rows, doc_id=b.column(0), held_out=b.column(1), uid=b.column(2), n_tokens=pa.array(n_tokens, pa.int64()), n_known=pa.array(n_known, pa.int64()), base=pa.array(base, pa.float64()), score=pa.array(scores, pa.float64()))
+            if rare:
+                yield rows_of(len(rare), uid=pa.array(of, pa.int64()), token=pa.array(rare, pa.binary()), n=pa.array(times, pa.int64()))
 
-    schema = f"doc_id {kind}, held_out boolean, uid long, n_tokens long, n_known long, base double, score double, token binary, n long"
+    schema = f"doc_id {kind}, held_out boolean, uid long, n_tokens long, n_known long, base double, score double, token binary, n long, code long, low double"
     # The ids are fixed by writing the rows; a lost task writes its part again.
     got = cut(rows.select("doc_id", "held_out", F.monotonically_increasing_id().alias("uid"), F.col("text").cast("binary").alias("text")).mapInArrow(score, schema))
-    each = got.where("n is not null").select("uid", F.col("token").cast("string").alias("token"), "n")
+    each = got.where("token is not null").select("uid", F.col("token").cast("string").alias("token"), "n")
     found = each.join(vocab.withColumnRenamed("token", "v"), F.col("token") == F.col("v"), "left")
     rest = found.groupBy("uid").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more_known"))
-    whole = got.where("n is null").drop("token", "n")
+    whole = got.where("n is null").drop("token", "n", "code", "low")
+    if rare_contexts is not None:
+        late = got.where("code is not null").select("uid", F.shiftright("code", 8).alias("ctx"), F.col("code").bitwiseAND(255).cast("int").alias("sym"), "n", "low")
+        late = late.join(rare_lengths(rare_contexts, shared), "ctx").groupBy("uid").agg(F.sum(F.col("n") * F.coalesce(F.try_element_at("known", F.col("sym")), F.col("low") + F.col("escape"))).alias("late"))
+        whole = whole.join(late, "uid", "left").withColumn("score", F.col("score") + F.coalesce("late", F.lit(0.0))).drop("late")
     return whole.join(rest, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * bottom).alias("base_score"), "score",

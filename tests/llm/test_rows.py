@@ -106,6 +106,15 @@ def test_model_is_ppm(spark):
     assert adaptive[0] < adaptive[3] < 0
 
 
+def test_contexts_outside_the_broadcast_head_count(spark):
+    texts = ["abracadabra", "Banana bandana", "", None, "é" * 5, "xyz", "a cab a dab", "abracadabra bandana"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = [(t or "").lower().encode() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    for contexts in (1, 7):
+        for r in ppm.score_documents(df, contexts=contexts).collect():
+            assert math.isclose(r.score, brute_ppm(train, (texts[r.doc_id] or "").lower().encode()), rel_tol=1e-5)
+
+
 # ---- 5, 6
 def marked(spark, seed, toxic):
     rng = random.Random(seed)
