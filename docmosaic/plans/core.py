@@ -341,6 +341,12 @@ def usage_daily_dense(spark: SparkSession, d: str) -> DataFrame:
     return A.dense_days(A.usage_daily(u), "day", ["calls", "tokens"], 7).withColumn("day", F.col("day").cast("string"))
 
 
+@query("""WITH u AS (SELECT CAST(ts AS DATE) AS day, count(*) AS calls, sum(event_id % 100 + 7)::BIGINT AS tokens FROM events GROUP BY 1), s AS (SELECT CAST(unnest(generate_series(max(day) - INTERVAL 6 DAY, max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM u)
+SELECT CAST(day AS VARCHAR) AS day, coalesce(calls, 0) AS calls, coalesce(tokens, 0) AS tokens FROM s LEFT JOIN u USING (day)""")
+def usage_daily_dense_all(spark: SparkSession, d: str) -> DataFrame:
+    return A.dense_days(A.usage_daily(_usage(spark, d)), "day", ["calls", "tokens"], 7).withColumn("day", F.col("day").cast("string"))
+
+
 @query("SELECT user_id AS email, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS calls, sum(event_id % 100 + 7)::BIGINT AS tokens FROM events GROUP BY 1, 2")
 def usage_daily_by_user(spark: SparkSession, d: str) -> DataFrame:
     return A.usage_daily(_usage(spark, d), ["email"]).withColumn("day", F.col("day").cast("string"))
