@@ -101,6 +101,13 @@ def pooled_values(spark: SparkSession, d: str) -> DataFrame:
     return p.select("lang", T.norm(F.col("value")).alias("norm_value"), "mentions", F.size("evidence").cast("long").alias("sources"))
 
 
+@query(f"SELECT lang, {NORM_SQL.format('text')} AS norm_value, count(*) AS mentions, count(DISTINCT source) AS sources FROM documents GROUP BY 1, 2")
+def pooled_values_all(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "documents").select("lang", F.col("text").alias("value"), F.col("source").alias("evidence"), F.col("doc_id").alias("ord"))
+    p = A.pooled(v, ["lang"])
+    return p.select("lang", T.norm(F.col("value")).alias("norm_value"), "mentions", F.size("evidence").cast("long").alias("sources"))
+
+
 @query("SELECT source AS doc_id, count(*) AS n, count(*) FILTER (lang = 'en') AS generic, count(*) FILTER (n_chars < 600) AS unsupported, count(*) FILTER (n_chars >= 600 AND n_chars < 1200) AS weak FROM documents GROUP BY 1")
 def fragility_census(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("lang").alias("label"), F.when(F.col("n_chars") < 600, 0).otherwise(1).alias("n_evidence"), (F.col("n_chars") >= 1200).alias("has_rects"))
@@ -166,6 +173,11 @@ def query_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(Ci.query_words(F.substring("text", 1, 400)), " ").alias("words"))
 
 
+@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{4,}'))), ' ') AS words FROM documents")
+def query_words_all(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.array_join(Ci.query_words(F.col("text")), " ").alias("words"))
+
+
 @query("SELECT item_id AS id, count(*) AS hits, CAST(round(CASE WHEN count(*) >= 5 THEN 0.7 ELSE 0.45 + 0.05 * count(*) END, 4) AS DOUBLE) AS score FROM benchmark, (VALUES ('the'), ('in'), ('on'), ('th'), ('er'), ('ing')) w(w) WHERE contains(lower(text), w) GROUP BY 1")
 def orphan_scores(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark").withColumn("hits", R.word_hits(F.col("text"), ["the", "in", "on", "th", "er", "ing"])).where("hits > 0")
@@ -185,6 +197,12 @@ def co_located_facts(spark: SparkSession, d: str) -> DataFrame:
     return G.co_located(p, p).select("src", "tgt", "via")
 
 
+@query("SELECT a.p_partkey AS src, b.p_partkey AS tgt, CASE WHEN a.p_brand = b.p_brand THEN 'same_block' ELSE 'same_section' END AS via FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND (a.p_brand = b.p_brand OR a.p_size = b.p_size)")
+def co_located_facts_all(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("fact_id"), F.col("p_brand").alias("block_id"), F.col("p_size").alias("section_id"))
+    return G.co_located(p, p).select("src", "tgt", "via")
+
+
 @query("SELECT p_partkey AS id, p_brand || '#' || p_size AS value FROM part WHERE p_partkey % 4 <> 0 UNION ALL SELECT p_partkey, 'new' FROM part WHERE p_partkey % 4 = 0")
 def upserted_rows(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("#", "p_brand", "p_size").alias("value"))
