@@ -5,32 +5,40 @@ neighbouring bands, at most H elements that only one of them holds. The hash uni
 allowance of 0 or 1 differing elements; where the allowances plus one add up to more than H, two such sets must agree in some
 segment within its allowance. So a set is indexed by the fingerprint of each of its segments and, for those of allowance 1,
 by the fingerprints of its one-deletion neighbourhood too. How many segments get which allowance is what costs least under a model
-of index entries and chance agreements (plan). Every candidate pair is verified exactly on the whole sets of 64-bit shingle hashes.
-
-Equal sets are one node from the start. Nodes are first verified against the most shared node they share an entry with; what is
-connected then needs no further test, and only pairs from different components are verified all, first by a sketch that rules out
-most of those that aren't similar; entries of very many nodes are passed over where the others suffice. So no link that joins anything is
-lost, and large groups of copies never expand into pairs.
+of index entries and chance agreements (plan). Larger sets get more segments than they need, so that similar ones agree in several;
+sets that agree with all others in fewer drop out, and of the rest the entries that most sets share are passed over.
+
+Equal sets are one node from the start. Nodes that share an entry are never paired with each other but with the entry's pivot, the
+node with most shared entries, and verified against it on the whole sets of 64-bit shingle hashes. The same pass gives each node's
+difference to its pivot. Two nodes of one pivot differ in exactly those elements in which their differences differ. So the open
+question, which nodes of a pivot are similar to each other though not connected through it, is a join on the differences alone: they
+are taken from the pivot's group consensus instead of the pivot (elements in which most members differ from it are turned round),
+sorted by how rare an element is, and only prefixes are joined that must meet if two nodes are similar (apart_pairs). What a group
+has in common never enters that join, however many copies there are. Elements that many nodes of both sides still share make new
+groups with a pivot of their own, round by round. So no link that joins anything is lost, and groups of copies never expand into pairs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, mix, shingle_set, words
 from .components import components
 
-FLUSH, STAR = 1 << 18, 256
-#: Entries that similar sets share beyond one, how many of them may be hot, what more nodes than HOT makes hot, what a chance agreement costs in entries.
-LOOSE, BUDGET, HOT, CHANCE = 12, 4, 64, 30
+#: Index entries a batch, nodes compared with one copy of their pivot.
+FLUSH, STAR = 1 << 18, 128
+#: Entries that similar large sets share beyond one: LOOSE or one in SHARE of all, whichever is more; what a chance agreement costs in entries.
+LOOSE, SHARE, CHANCE = 12, 6, 30
+#: Groups of so many nodes are compared pair by pair; an element that more nodes than WIDE share on both sides makes a group of its own, for so many rounds.
+FEW, WIDE, ROUNDS = 8, 64, 8
 GOLD, SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -74,7 +82,7 @@ def plan(k: int, t: Threshold) -> Plan | None:
         if zeros >= 8:
             if ones:
                 continue
-            spare, loose = 1 + zeros // 64, LOOSE
+            spare, loose = 1 + zeros // 64, max(LOOSE, zeros // SHARE)
             zeros += spare + loose
         if ones + zeros == 0:
             continue
@@ -87,14 +95,12 @@ def plan(k: int, t: Threshold) -> Plan | None:
     return Plan(ones, spare, loose, np.array([-(-(i << 64) // m) for i in range(m)], np.uint64))
 
 
-def least_loose(t: Threshold) -> int:
-    """The set size from which both joins of a set have loose entries."""
-    low, at, k = 1, 1, 0
-    while low < 1 << 13:  # beyond, bands only grow in proportion
-        if (p := plan(k, t)) is None or not p.loose:
-            at = low * t.den // t.num + 1
-        low, k = low * t.den // t.num + 1, k + 1
-    return at
+def few(n: int, t: Threshold) -> tuple[int, int]:
+    """How many entries of each of its two joins (by their lowest bit) a set of n elements may be without before a similar set is lost."""
+    out = [0, 0]
+    for k in (band(n, t), band(n, t) + 1):
+        out[k & 1] = p.loose if n and (p := plan(k, t)) else 0
+    return out[0], out[1]
 
 
 def entries(s: np.ndarray, t: Threshold) -> np.ndarray:
@@ -128,14 +134,21 @@ def set_hash(s: np.ndarray) -> int:
 
 
 def index_rows(docs: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """(sig, node, doc_id, n): a row per document with doc_id and n, and a row per index entry of each distinct set of a task."""
+    """(sig, node, doc_id, info): a row per document with doc_id and info, and a row per index entry of each distinct set of a task."""
+    names = ["sig", "node", "doc_id", "info"]
+    info = pa.struct([("key", pa.int64()), ("n", pa.int64()), ("few0", pa.int32()), ("few1", pa.int32())])
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        names = ["sig", "node", "doc_id", "n"]
+
+        def flushed(sigs: list[np.ndarray], of: list[np.ndarray], ids: pa.DataType) -> pa.RecordBatch:
+            sig = pa.array(np.concatenate(sigs).view(np.int64))
+            return pa.RecordBatch.from_arrays([sig, pa.array(np.concatenate(of)), pa.nulls(len(sig), ids), pa.nulls(len(sig), info)], names)
+
         for b in batches:
             ids = b.column(0)
             nodes, sizes, sigs, of, held = [], [], [], [], 0
-            for t_ in b.column(1):
+            for t_ in b.column(2):
                 s = shingle_set(words(t_.as_py()), n)
                 nodes.append(node := set_hash(s))
                 sizes.append(len(s))
@@ -146,25 +159,30 @@ def index_rows(docs: DataFrame, n: int, t: Threshold) -> DataFrame:
                     of.append(np.full(len(e), node, np.int64))
                     held += len(e)
                 if held >= FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(of)), pa.nulls(held, ids.type), pa.nulls(held, pa.int64())], names)
+                    yield flushed(sigs, of, ids.type)
                     sigs, of, held = [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(of)), pa.nulls(held, ids.type), pa.nulls(held, pa.int64())], names)
+                yield flushed(sigs, of, ids.type)
             # Spread by position, so that the copies of one text don't meet in one task.
             spread = mix(np.arange(len(ids), dtype=np.uint64) * GOLD + np.array(nodes, np.int64).view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(nodes, pa.int64()), ids, pa.array(sizes, pa.int64())], names)
+            spare = np.array([few(k, t) for k in sizes], np.int32).reshape(-1, 2)
+            about = pa.StructArray.from_arrays([b.column(1), pa.array(sizes, pa.int64()), pa.array(spare[:, 0]), pa.array(spare[:, 1])], fields=list(info))
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(nodes, pa.int64()), ids, about], names)
+
+    return docs.select("doc_id", "key", "text").mapInArrow(index, f"sig long, node long, doc_id {dict(docs.dtypes)['doc_id']}, {INFO}")
 
-    return docs.select("doc_id", "text").mapInArrow(index, f"sig long, node long, doc_id {dict(docs.dtypes)['doc_id']}, n long")
+
+INFO = "info struct<key: bigint, n: bigint, few0: int, few1: int>"
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """(sig, node, pivot, doc_id, n): rows of documents as they are, and of each entry that several nodes share its nodes but the smallest, with the smallest as pivot.
+    """(sig, node, pivot, doc_id, info): rows of documents as they are, and of each entry that several nodes share its nodes but the smallest, with the smallest as pivot.
 
     Spark sorts the entries; one pass over each partition compares neighbours and holds one batch, however many nodes share an entry.
     """
+    names = ["sig", "node", "pivot", "doc_id", "info"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sig", "node", "pivot", "doc_id", "n"]
         last: tuple[int, int, int] | None = None  # sig, node and pivot of the last entry row
         for b in batches:
             sig, node = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -185,9 +203,9 @@ def meetings(rows: DataFrame) -> DataFrame:
             new = np.append(False, node[1:] != node[:-1]) & same
             last = int(sig[-1]), int(node[-1]), int(low[-1])
             if k := int(new.sum()):
-                yield pa.RecordBatch.from_arrays([pa.array(sig[new]), pa.array(node[new]), pa.array(low[new]), pa.nulls(k, b.column(2).type), pa.nulls(k, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[new]), pa.array(node[new]), pa.array(low[new]), pa.nulls(k, b.column(2).type), pa.nulls(k, b.column(3).type)], names)
 
-    schema = f"sig long, node long, pivot long, doc_id {dict(rows.dtypes)['doc_id']}, n long"
+    schema = f"sig long, node long, pivot long, doc_id {dict(rows.dtypes)['doc_id']}, {INFO}"
     return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(scan, schema)
 
 
@@ -214,55 +232,184 @@ def are_similar(a: np.ndarray, b: np.ndarray, t: Threshold) -> bool:
 
 
 def shingle_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """(node, shingles, sketch) of the documents that reps (rep, node) names; a repeated row gives repeated ones."""
+    """(node, shingles, sketch) of the texts that reps (key, node) names; of repeated rows one per task."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for b in batches:
             node, out, short = [], [], []
             for want, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = shingle_set(words(t.as_py()), n)
-                if set_hash(s) == want:  # ids may repeat with other texts
+                if want not in done:
+                    done.add(want)
+                    s = shingle_set(words(t.as_py()), n)
                     node.append(want)
                     out.append(s.tobytes())
                     short.append(len(s).to_bytes(4, "little") + sketch(s).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(out, pa.binary()), pa.array(short, pa.binary())], ["node", "shingles", "sketch"])
 
-    return docs.select("doc_id", "text").join(reps, F.col("doc_id") == F.col("rep")).select("node", "text").mapInArrow(sets, "node long, shingles binary, sketch binary")
+    return docs.select("key", "text").join(reps, "key").select("node", "text").mapInArrow(sets, "node long, shingles binary, sketch binary")
+
+
+def beside_pivot(sets: DataFrame, payload: str, pairs: DataFrame) -> DataFrame:
+    """(pivot, part, node, rank, m, payload) sorted: the nodes of a pivot, m in all, in parts of about STAR, each with the pivot itself before them (rank 0)."""
+    groups = pairs.groupBy("pivot").agg(F.count("*").alias("m")).withColumn("parts", F.ceil(F.col("m") / STAR))
+    members = pairs.join(groups, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", F.lit(1).alias("rank"), "m")
+    heads = groups.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("node"), F.lit(0).alias("rank"), "m")
+    rows = members.unionByName(heads).join(sets.select("node", payload), "node").select("pivot", "part", "node", "rank", "m", payload)
+    return rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "rank")
+
+
+def next_to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]]:
+    """For each batch of beside_pivot's rows (node, pivot, m, bytes of the pivot, bytes of the node)."""
+    now, base = None, None
+
+    def of(b: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+        nonlocal now, base
+        for pivot, part, node, rank, m, raw in zip(*(b.column(i).to_pylist() for i in range(5)), b.column(5), strict=True):
+            s = np.frombuffer(raw.as_py(), np.uint8)
+            if rank == 0:
+                now, base = (pivot, part), s
+            elif now == (pivot, part):
+                yield node, pivot, m, base, s
+
+    for b in batches:
+        yield of(b)
 
 
 def passing(sets: DataFrame, payload: str, pairs: DataFrame, test: Callable[[np.ndarray, np.ndarray, Threshold], bool], t: Threshold) -> DataFrame:
-    """(a, b) of the pairs (node, pivot) whose payloads pass the test. A pivot's nodes come in groups of about STAR, each with the pivot's set before them."""
-    groups = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / STAR).alias("groups"))
-    g = pairs.join(groups, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.col("groups")))
-    heads = groups.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.col("pivot").alias("node"), F.lit(0).alias("rank"))
-    members = g.select("pivot", "part", "node", F.lit(1).alias("rank")).unionByName(heads)
+    """(node, pivot) of the pairs (node, pivot) whose payloads pass the test."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in next_to_pivots(batches):
+            hit = [(node, pivot) for node, pivot, _, x, y in rows if test(x, y, t)]
+            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hit], pa.int64()) for i in (0, 1)], ["node", "pivot"])
+
+    return beside_pivot(sets, payload, pairs).mapInArrow(compare, "node long, pivot long").distinct()
 
+
+def differences(sets: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
+    """(node, pivot, m, similar, diff): which pairs are similar and, in groups of more than FEW nodes, the elements that only one of both holds."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, base = None, None
-        for b in batches:
-            a, c = [], []
-            for pivot, part, node, rank, raw in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
-                s = np.frombuffer(raw.as_py(), np.uint8)
-                if rank == 0:
-                    now, base = (pivot, part), s
-                elif now == (pivot, part) and test(base, s, t):
-                    a.append(node)
-                    c.append(pivot)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
-
-    rows = members.join(sets.select("node", payload), "node").select("pivot", "part", "node", "rank", payload)
-    return rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "rank").mapInArrow(compare, "a long, b long")
-
-
-def shared_enough(held: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
-    """held without the sets that share too few entries of one join to have a similar one: 1 + LOOSE from a size of least on. Twice, as each removal leaves others with fewer."""
-    part = F.pmod("sig", F.lit(2)).alias("part")
-    for _ in range(2):
-        live = held.groupBy("node", part).agg(F.count("*").alias("k")).join(sizes, "node").where((F.col("k") > LOOSE) | (F.col("n_set") < least)).select("node", "part")
-        left = cut(held.withColumn("part", part).join(live, ["node", "part"], "left_semi").select("sig", "node"))
-        several = left.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
-        held = cut(left.join(several, "sig", "left_semi"))
+        for rows in next_to_pivots(batches):
+            node, pivot, size, similar, diff = [], [], [], [], [np.empty(0, np.int64)]
+            for i, p, m, x, y in rows:
+                d = np.setxor1d(x.view(np.int64), y.view(np.int64), assume_unique=True)
+                node.append(i)
+                pivot.append(p)
+                size.append(m)
+                similar.append(len(d) * (t.den + t.num) <= (len(x) + len(y)) // 8 * (t.den - t.num))
+                diff.append(d if m > FEW else diff[0])
+            ends = np.cumsum([len(d) for d in diff], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(diff)))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(pivot, pa.int64()), pa.array(size, pa.int64()), pa.array(similar, pa.bool_()), lists], ["node", "pivot", "m", "similar", "diff"])
+
+    return beside_pivot(sets, "shingles", pairs).mapInArrow(compare, "node long, pivot long, m long, similar boolean, diff array<long>")
+
+
+def shared_enough(held: DataFrame, sizes: DataFrame) -> DataFrame:
+    """held without what no similar pair needs.
+
+    Two similar sets share more entries of one join than few() names for either. So sets that share fewer with all others drop out
+    (twice, as each removal leaves others with fewer), and each set can do without that many entries, those that most sets share:
+    of the entries that two sets share, at least the one that fewest sets share (ties by the entry) stays in both.
+    """
+    part, spare = F.pmod("sig", F.lit(2)), F.when(F.pmod("sig", F.lit(2)) == 0, F.col("few0")).otherwise(F.col("few1"))
+
+    def several(rows: DataFrame) -> DataFrame:
+        left = cut(rows.select("sig", "node"))
+        out = cut(left.join(left.groupBy("sig").agg(F.count("*").alias("nodes")).where("nodes > 1"), "sig").select("sig", "node", "nodes"))
         drop_cut(left)
-    return held
+        return out
+
+    held = several(held)
+    for last in (False, False, True):
+        rows = held.join(sizes, "node").select("sig", "node", "nodes", part.alias("part"), spare.alias("spare"))
+        of = Window.partitionBy("node", "part")
+        if last:
+            rows = rows.withColumn("k", F.row_number().over(of.orderBy(F.desc("nodes"), "sig")))
+        else:
+            rows = rows.withColumn("k", F.count("*").over(of))
+        new = several(rows.where("k > spare"))
+        drop_cut(held)
+        held = new
+    return held.select("sig", "node")
+
+
+def apart_pairs(group: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of group (pivot, node, label, n, m, diff): links that are sure, pairs that may be similar, and entries of a next round.
+
+    With D the difference to the consensus of a pivot's group and g = (den + num) * size of D - (den - num) * n, two nodes are
+    similar just if their differences share (g1 + g2) / (2 * (den + num)) elements or more. The node of the smallest g is a link
+    for each node whose g adds up with its own to 0 or less. Any other pair must share an element; sorted from rare to frequent, it
+    stands in the first |D| - (shared) + 1 of both, where the node of the smaller g looks for partners that are not sure links.
+    """
+    total, less = t.den + t.num, t.den - t.num
+    own = group.select("pivot", "node", F.explode("diff").alias("e"))
+    freq = own.join(group.select("pivot", "node", "m"), ["pivot", "node"]).groupBy("pivot", "e").agg(F.count("*").alias("c"), F.max("m").alias("m"))
+    freq = cut(freq.withColumn("turned", F.col("c") * 2 > F.col("m")))
+    parts = F.ceil(F.col("m") / STAR)
+    turned = freq.where("turned").select("pivot", "e", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    spread = group.select("pivot", "node", F.pmod(F.xxhash64("node"), parts).alias("part"))
+    marked = own.join(freq.where("turned").select("pivot", "e"), ["pivot", "e"], "left_anti")
+    added = spread.join(turned, ["pivot", "part"]).select("pivot", "node", "e").join(own, ["pivot", "node", "e"], "left_anti")
+    rarity = freq.select("pivot", "e", F.when(F.col("turned"), F.col("m") - F.col("c")).otherwise(F.col("c")).alias("c"))
+    of = Window.partitionBy("pivot", "node")
+    far = marked.unionByName(added).join(rarity, ["pivot", "e"]).select("pivot", "node", "e", F.row_number().over(of.orderBy("c", "e")).alias("at"), F.count("*").over(of).alias("d"))
+    far = cut(far)
+    sized = group.select("pivot", "node", "label", "n").join(far.where("at = 1").select("pivot", "node", "d"), ["pivot", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0).cast("long")))
+    sized = cut(sized.withColumn("g", F.col("d") * total - F.col("n") * less))
+    near = sized.groupBy("pivot").agg(F.min(F.struct("g", "node")).alias("q")).select("pivot", F.col("q.g").alias("g0"), F.col("q.node").alias("q"))
+    sized = sized.join(near, "pivot")
+    sure = cut(sized.where("node <> q and g + g0 <= 0").select("node", F.col("q").alias("pivot")))
+    widest = F.floor(F.col("n") * t.den / t.num)  # elements of the largest similar set
+    g, g0, d = F.col("g"), F.col("g0"), F.col("d")
+    least = lambda x: F.greatest(F.lit(1), F.ceil(x / (2 * total)))
+    lowest = F.greatest(g0, F.greatest(F.lit(0), d - F.floor((F.col("n") + widest) * less / total)) * total - widest * less)
+    about = sized.select("pivot", "node", "label", "n", "g", (g + g0 > 0).alias("open"), (d - least(g + F.greatest(g, 1 - g0)) + 1).alias("seek"), (d - least(g + lowest) + 1).alias("reach"))
+    rows = far.join(about, ["pivot", "node"]).withColumn("asks", F.col("at") <= F.col("seek")).withColumn("answers", F.col("open") & (F.col("at") <= F.col("reach"))).where("asks or answers")
+    keys = rows.groupBy("pivot", "e").agg(F.sum(F.col("asks").cast("long")).alias("asking"), F.sum(F.col("answers").cast("long")).alias("answering"), F.min("label").alias("low"), F.max("label").alias("high"))
+    keys = keys.where("low <> high and asking > 0 and answering > 0").select("pivot", "e", (F.least("asking", "answering") > WIDE).alias("wide"))
+    rows = cut(rows.join(keys, ["pivot", "e"]))
+    side = lambda role, x: rows.where(role).where("not wide").select("pivot", "e", *(F.col(c).alias(x + c) for c in ("node", "label", "n", "g", "d", "at")))
+    left = F.least(F.col("x_d") - F.col("x_at"), F.col("y_d") - F.col("y_at")) + 1
+    fits = (F.abs(F.col("x_d") - F.col("y_d")) * total <= (F.col("x_n") + F.col("y_n")) * less) & (left * (2 * total) >= F.col("x_g") + F.col("y_g"))
+    order = F.struct("x_g", "x_node") < F.struct("y_g", "y_node")
+    met = side("asks", "x_").join(side("answers", "y_"), ["pivot", "e"]).where(order & (F.col("x_label") != F.col("y_label")) & fits)
+    pairs = cut(met.select(F.greatest("x_node", "y_node").alias("node"), F.least("x_node", "y_node").alias("pivot")).distinct())
+    again = cut(rows.where("wide").select(F.xxhash64("pivot", "e").alias("sig"), "node").distinct())
+    drop_cut(freq, far, sized, rows)
+    return sure, pairs, again
+
+
+def linked(held: DataFrame, sets: DataFrame, sizes: DataFrame, t: Threshold) -> DataFrame:
+    """(a, b) of links that connect all similar nodes among those that share an entry of held (sig, node)."""
+    links: list[DataFrame] = []
+    both = lambda df: df.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    verified = lambda pairs: passing(sets, "shingles", passing(sets, "sketch", pairs, may_be_similar, t), are_similar, t)
+    for left in range(ROUNDS, -1, -1):
+        if not left:  # whatever the rounds haven't told apart, pair by pair
+            x, y = held.alias("x"), held.alias("y")
+            rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") > F.col("y.node"))).select("x.node", F.col("y.node").alias("pivot")).distinct()
+            links.append(cut(both(verified(rest))))
+            break
+        rank = F.struct("k", "node")
+        ranked = cut(held.join(held.groupBy("node").agg(F.count("*").alias("k")), "node").select("sig", "node", "k"))
+        top = ranked.groupBy("sig").agg(F.max(rank).alias("top"))
+        tried = cut(ranked.join(top, "sig").select("node", F.col("top.node").alias("pivot")).where("node <> pivot").distinct())
+        told = cut(differences(sets, tried, t))
+        links.append(cut(both(told.where("similar"))))
+        label = components(reduce(DataFrame.union, links))
+        group = told.join(label, "node", "left").select("pivot", "node", "m", F.coalesce("label", "node").alias("label"))
+        mixed = cut(group.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("pivot"))
+        group = cut(group.distinct().join(mixed, "pivot").join(sizes.select("node", "n"), "node"))
+        x, y = group.where(F.col("m") <= FEW).alias("x"), group.where(F.col("m") <= FEW).alias("y")
+        few_ = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.label") < F.col("y.label"))).select(F.greatest("x.node", "y.node").alias("node"), F.least("x.node", "y.node").alias("pivot"))
+        diffs = told.where(F.col("m") > FEW).select("pivot", "node", "diff").dropDuplicates(["pivot", "node"])
+        sure, pairs, again = apart_pairs(group.where(F.col("m") > FEW).join(diffs, ["pivot", "node"]), t)
+        links += [cut(both(verified(few_.union(pairs).distinct()))), cut(both(sure))]
+        drop_cut(ranked, tried, told, label, mixed, group, sure, pairs)
+        held = again
+        if held.isEmpty():
+            break
+    return reduce(DataFrame.union, links)
 
 
 def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -270,45 +417,23 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
 
     A document's set holds its distinct n-word shingles of lower-cased words (one shingle of all words if there are fewer). Null,
     empty and wordless texts have no shingles, link with nothing and are their own component. Equal texts, and repeated rows of
-    one id, always share a component. An empty table gives an empty result; other columns are ignored.
+    one id, always share a component; different texts under one id are documents of their own, linked by what they say. Documents
+    without id link like others; a component is named by its smallest id, null if none has one. An empty table gives an empty
+    result; other columns are ignored. doc_id may be of any type that has an order.
     """
     t = Threshold(num, den)
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     met = cut(meetings(index_rows(docs, n, t)))
-    known = met.where("n is not null").select("doc_id", "n", "node")
-    hits = met.where("n is null").select("sig", "node", "pivot")
-    least = least_loose(t)
-    sizes = known.select("node", F.col("n").alias("n_set")).distinct()
-    held = shared_enough(cut(hits.select("sig", "node").union(hits.select("sig", "pivot")).distinct()), sizes, least)
-    reps = known.groupBy("node").agg(F.min("doc_id").alias("rep")).join(held.select("node").distinct(), "node")
+    known = met.where("info is not null").select("doc_id", "node", "info.*")
+    hits = met.where("info is null").select("sig", "node", "pivot")
+    sizes = cut(known.select("node", "n", "few0", "few1").distinct())
+    held = shared_enough(hits.select("sig", "node").union(hits.select("sig", "pivot")).distinct(), sizes)
+    reps = known.groupBy("node").agg(F.min("key").alias("key")).join(held.select("node").distinct(), "node")
     sets = cut(shingle_sets(docs, reps, n))
-    # First each node against the one with most shared entries that it shares an entry with: the least edited of a group of copies.
-    degree = held.groupBy("node").agg(F.count("*").alias("k"))
-    rank = F.struct("k", "node")
-    ranked = cut(held.join(degree, "node").select("sig", "node", "k"))
-    top = ranked.groupBy("sig").agg(F.max(rank).alias("top"))
-    tried = cut(ranked.join(top, "sig").groupBy("node").agg(F.max("top").alias("top")).select("node", F.col("top.node").alias("pivot")).where("node <> pivot"))
-    links = cut(passing(sets, "shingles", tried, are_similar, t))
-    label = components(links)
-    # Then every pair that shares enough entries but is not connected yet. Two similar sets share at least 1 + LOOSE entries of one
-    # join, so a set with at most BUDGET hot ones there is found by its others; sets with more are joined on the hot ones, too.
-    apart = held.join(label, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    mixed = apart.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), (F.count("*") > HOT).alias("hot")).where("low <> high").select("sig", "hot")
-    every = cut(apart.join(mixed, "sig").join(sizes, "node").withColumn("small", F.col("n_set") < least).withColumn("part", F.pmod("sig", F.lit(2))))
-    heavy = every.where("hot").groupBy("node", "part").agg(F.count("*").alias("k"), F.max("small").alias("s")).where((F.col("k") > BUDGET) | F.col("s")).select("node", "part")
-    columns = ["sig", "node", "label", "small"]
-    open_ = cut(every.where("not hot").select(*columns).union(every.where("hot").join(heavy, ["node", "part"], "left_semi").select(*columns)))
-    a, b = open_.alias("a"), open_.alias("b")
-    pair = [F.greatest("a.node", "b.node").alias("node"), F.least("a.node", "b.node").alias("pivot")]
-    met_at = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.label") < F.col("b.label"))).select(*pair, (F.col("a.small") | F.col("b.small")).alias("small"))
-    rest = met_at.groupBy("node", "pivot").agg(F.count("*").alias("k"), F.max("small").alias("s")).where((F.col("k") > LOOSE - BUDGET) | F.col("s")).select("node", "pivot")
-    both = tried.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot"))
-    rest = cut(rest.join(both, ["node", "pivot"], "left_anti"))
-    near = cut(passing(sets, "sketch", rest, may_be_similar, t).distinct().select(F.col("a").alias("node"), F.col("b").alias("pivot")))
-    more = cut(passing(sets, "shingles", near, are_similar, t))
-    final = components(links.union(more))
+    links = linked(held, sets, sizes, t)
+    final = components(links)
     member = known.join(final, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("class"))
     least = member.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    out = member.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
-    drop_cut(ranked, tried, label, every, open_, rest, near, sets, held)
+    out = cut(member.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")))
+    drop_cut(met, sizes, held, sets, final)
     return out

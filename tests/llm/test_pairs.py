@@ -38,10 +38,50 @@ def test_near_duplicates_equal_brute_force(spark):
         assert got == brute_components(cases.rows(seed), n, num, den)
 
 
-def test_hot_entries_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(setjoin, "HOT", 1)
-    got = sorted(tuple(r) for r in setjoin.near_duplicates(cases.frame(spark, 5), 2, 80, 100).collect())
-    assert got == brute_components(cases.rows(5), 2, 80, 100)
+def group_of_copies(rng):
+    """Edited copies of one text, of an edited copy of it, and of texts that share a passage: more links than components."""
+    base = cases.prose(rng, 60).split()
+    far = list(base)
+    for k in range(0, 60, 5):
+        far[k] = cases.prose(rng, 1)
+    out = []
+    for k in range(110):
+        w = list(far if k % 3 == 0 else base)
+        for _ in range(rng.choice((0, 1, 1, 2, 3, 5, 8))):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = [] if rng.random() < 0.2 else [cases.prose(rng, 1)]
+        if out and rng.random() < 0.3:
+            w = out[-1][1].split()
+            w[rng.randrange(len(w))] = cases.prose(rng, 1)
+        out.append((k, " ".join(w)))
+    rng.shuffle(out)
+    return out
+
+
+def test_groups_of_copies_lose_no_link(spark, monkeypatch):
+    import random
+
+    rows = group_of_copies(random.Random(4))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for few, wide, rounds, n, num in ((8, 64, 8, 4, 85), (1, 1, 8, 5, 80), (1, 0, 1, 4, 85)):
+        monkeypatch.setattr(setjoin, "FEW", few)
+        monkeypatch.setattr(setjoin, "WIDE", wide)
+        monkeypatch.setattr(setjoin, "ROUNDS", rounds)
+        got = sorted(tuple(r) for r in setjoin.near_duplicates(df, n, num, 100).collect())
+        want = brute_components(rows, n, num, 100)
+        assert got == want and 3 < len({c for _, _, c in want}) < 100
+
+
+def test_ids_null_and_repeated(spark):
+    import random
+
+    rng = random.Random(2)
+    a, b, c = (cases.prose(rng, 60) for _ in range(3))
+    edited = lambda t: t + " more"
+    rows = [(None, a), (5, edited(a)), (7, b), (7, c), (9, edited(c)), (8, edited(b)), (None, "alone here"), (None, None), (3, " ")]
+    got = setjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    key = lambda r: tuple((v is None, v or 0) for v in r)
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=key) == sorted([(None, 5), (5, 5), (7, 7), (7, 7), (9, 7), (8, 7), (None, None), (None, None), (3, 3)], key=key)
 
 
 def test_near_duplicates_of_nothing(spark):
