@@ -11,12 +11,15 @@ Random numbers are hashes of the documents, so reruns agree.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import WORD
+from .common import cut
 
+#: Repeated rows that one row of a sequence stands for.
+REPEATS = 4096
 SIZE = r"regexp_count(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 #: One meeting: acc holds the open document o (null at first) and the settled ones; x comes in.
 MEET = """aggregate(
@@ -50,16 +53,22 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_c
     over the sources ordered by cap / weight. One row per source; empty sources get 0.
     """
     s = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    every = W.partitionBy()
-    s = s.withColumn("i", F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())) - 1)
-    s = s.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("i") % len(weights) + 1).cast("int")).cast("long"))
-    s = s.withColumn("cap", max_copies * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("w"))
-    before = every.orderBy("ratio", "i").rowsBetween(W.unboundedPreceding, -1)
-    s = s.withColumn("total", F.sum("source_size").over(every)).withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("open_w", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-    s = s.withColumn("level", (F.col("total") - F.col("capped")) / F.col("open_w"))
-    # The first source in this order that stays under its cap fixes the level of all after it.
-    s = s.withColumn("level", F.min_by(F.when(F.col("level") <= F.col("ratio"), F.col("level")), F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "i"))).over(every))
-    return s.select("source", "source_size", F.least(F.col("level") * F.col("w"), F.col("cap").cast("double")).alias("target"))
+    # The place of a source in the order is its place in its range and the sizes of the ranges before: one number per range goes to the driver.
+    s = cut(s.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()))
+    ranges = sorted((r["r"], r["n"]) for r in s.groupBy(F.shiftright("at", 33).alias("r")).agg(F.count("*").alias("n")).collect())
+    before = list(accumulate((n for _, n in ranges), initial=0))
+    offset = F.element_at(F.create_map(*(F.lit(x) for (r, _), b in zip(ranges, before, strict=False) for x in (r, b))), F.shiftright("at", 33)) if ranges else F.lit(0)
+    place = F.col("at").bitwiseAND((1 << 33) - 1) + offset
+    s = s.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("long")).withColumn("cap", max_copies * F.col("source_size"))
+    # The level rises as sources are capped, until it caps no further one; each round is one sum over the sources.
+    level, last = 0.0, -1
+    while True:
+        capped = F.col("cap") <= level * F.col("w")
+        n, c, w, t = s.agg(F.sum(capped.cast("long")), F.sum(F.when(capped, F.col("cap"))), F.sum(F.when(~capped, F.col("w"))), F.sum("source_size")).first()
+        if not w or n == last:
+            break
+        level, last = (t - (c or 0)) / w, n
+    return s.select("source", "source_size", F.least(F.lit(float(level)) * F.col("w"), F.col("cap").cast("double")).alias("target"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = 3, block: int = 64, seed: int = 7) -> DataFrame:
@@ -68,8 +77,6 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copie
     Null or wordless texts have size 0 and are taken 0 times; a null source is a source of its own, last in order. Repeated rows
     are settled each by itself. An empty table gives an empty result. Other columns are ignored.
     """
-    from .common import cut
-
     sized = cut(docs.select("doc_id", "source", F.expr(SIZE).cast("long").alias("size")))
     targets = source_targets(sized, weights, max_copies)
     t = cut(targets.withColumn("sid", F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))))
@@ -79,7 +86,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copie
     rows = rows.withColumn("rate", F.least(rate, F.lit(float(max_copies)))).withColumn("whole", F.floor(F.col("rate") + 1e-9).cast("long"))
     rows = rows.withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))).withColumn("p", F.expr(settled("p")))
     fixed = rows.where("size = 0 or p = 0D").select("doc_id", "sid", "size", F.lit(0.0).alias("p"))
-    live = rows.where("size > 0 and p > 0D").withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed)))
+    # Repeated rows are counted and dealt out again under numbers of their own, so that they spread over the blocks like others.
+    live = rows.where("size > 0 and p > 0D").groupBy("doc_id", "sid", "size", "p").agg(F.count("*").alias("times"))
+    live = live.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / REPEATS))))
+    live = live.withColumn("number", F.explode(F.sequence(F.col("part") * REPEATS, F.least(F.col("times"), (F.col("part") + 1) * REPEATS) - 1)))
+    live = live.withColumn("h", F.xxhash64("doc_id", "size", "number", F.lit(seed)))
     n = max(1, live.count())
     item = f"struct<h:bigint,doc_id:{dict(docs.dtypes)['doc_id']},size:bigint,p:double>"
     live, out, level = live.select("sid", F.struct("h", "doc_id", "size", "p").alias("x")), [fixed], 0

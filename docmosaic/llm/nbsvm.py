@@ -168,7 +168,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", th
     A null text counts as empty and is scored like any other; repeated rows get equal scores; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, max_rows))
-    schema = T.StructType([docs.schema["doc_id"], *(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(f"__{i}", docs.schema[c].dataType) for i, c in enumerate(keep)), T.StructField("score", T.DoubleType())])
     n = 1 + len(keep)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,5 +181,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", th
                 out[i] = model.score(model.margin(seen))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n)), pa.array(out)], schema.names)
 
-    rows = docs.select("doc_id", *keep, F.col("text").cast("binary").alias("__text")).mapInArrow(score, schema)
-    return rows.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *keep)
+    rows = docs.select("doc_id", *(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)), F.col("text").cast("binary").alias("__text")).mapInArrow(score, schema)
+    return rows.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"__{i}").alias(c) for i, c in enumerate(keep)))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score threshold or more, all columns as they are, whatever they are called.
+
+    Null texts count as empty and are scored like any other; repeated rows stay or go together; an empty table gives an empty result.
+    """
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
+    good = score_quality(rows, labels, label, threshold, keep=("__row",)).where("predicted = 1")
+    return good.select(*(F.col("__row")[c].alias(c) for c in docs.columns))

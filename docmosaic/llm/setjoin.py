@@ -437,3 +437,21 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
     out = cut(member.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")))
     drop_cut(met, sizes, held, sets, final)
     return out
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the row of the smallest doc_id (null ids last), once.
+
+    Different texts under one id are judged each by itself; of rows of one id in one component the one of the smallest hash stays.
+    Null, empty and wordless texts link with nothing and all stay. All columns stay as they are, whatever they are called.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    ident = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*map(text, docs.columns)).alias("row"))
+    rows = docs.select(ident.alias("__id"), F.struct(*docs.columns).alias("__row"))
+    groups = near_duplicates(docs.select(ident.alias("doc_id"), "text"), n, num, den)
+    kept = groups.where("n_shingles = 0 or doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"), F.max("n_shingles").alias("held"))
+    kept = kept.select(F.col("doc_id").alias("__keep"), (F.col("times") * F.col("held") > F.col("held")).alias("__several"))
+    met = rows.join(kept, F.col("__id").eqNullSafe(F.col("__keep")))
+    once = met.where("not __several").select("__row")
+    several = met.where("__several").groupBy("__id").agg(F.first("__row").alias("__row")).select("__row")
+    return once.unionByName(several).select(*(F.col("__row")[c].alias(c) for c in docs.columns))

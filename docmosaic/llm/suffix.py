@@ -224,7 +224,11 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """key, text (what is left), n_removed, n_spans, kept_sha256, spans (starts and ends in bytes): one row per distinct (doc_id, text) that loses bytes."""
+    """key, text (what is left), n_removed, n_spans, kept_sha256, spans (starts and ends in bytes): one row per distinct (doc_id, text) that loses bytes.
+
+    Null texts count as empty; texts of fewer than length bytes lose nothing. Rows that are repeated whole may give repeated rows here.
+    Only doc_id and text are read; an empty table gives an empty result.
+    """
     keyed = with_key(docs.select("doc_id", "text")).select("key", F.col("text").cast("binary").alias("text")).where(F.length("text") >= length)
     marks = cut(ranked(sampled(keyed, length, gram)))
     # One shuffle of the texts: those with a repeated sample go on, with their marks.
@@ -271,13 +275,18 @@ def repeat_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the repeated bytes taken out of text and n_chars set anew; a character that loses some of its bytes goes whole."""
-    gone = repeats(docs, length).select("key", F.col("text").alias("left")).dropDuplicates(["key"])
+    """docs with the repeated bytes taken out of text and n_chars set anew; a character that loses some of its bytes goes whole.
+
+    Every row and column stays, whatever the columns are called. Texts that lose nothing (null, empty and short ones among them) stay
+    as they are; repeated rows of at least length bytes lose all of their text. An empty table gives an empty result.
+    """
+    gone = repeats(docs, length).select(F.col("key").alias("__of"), F.col("text").alias("__rest")).dropDuplicates(["__of"])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.as_py().decode("utf-8", "ignore") for t in b.column(1)], pa.string())], ["key", "left"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.as_py().decode("utf-8", "ignore") for t in b.column(1)], pa.string())], ["__of", "__rest"])
 
-    rows = docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    new = F.coalesce("left", "text")
-    return rows.join(gone.mapInArrow(decode, "key long, left string"), "key", "left").select(*(new.alias(c) if c == "text" else F.length(new).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.xxhash64(F.col("doc_id").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__key"))
+    new = F.coalesce("__rest", "__row.text")
+    kept = lambda c, t: new if c == "text" else F.coalesce(F.length("__rest").cast(t), F.col("__row")[c]) if c == "n_chars" else F.col("__row")[c]
+    return rows.join(gone.mapInArrow(decode, "__of long, __rest string"), F.col("__key") == F.col("__of"), "left").select(*(kept(c, t).alias(c) for c, t in docs.dtypes))

@@ -9,7 +9,7 @@ the maxima of clean texts), and a logistic curve
 maps it to 0..1.
 
 The fit uses at most ``max_rows`` labelled rows per class (a documented bound, rows in the order of a hash of their texts), and
-the driver keeps their token counts. All rows are scored over their whole texts.
+the driver receives their token counts. All rows are scored over their whole texts.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, words
+from .common import cut, drop_cut, fold
 from .nbsvm import platt, training_rows
 
 PREFIX, DRIFT, RISK, TOP = 4, 0.1, 0.002, 4.0
+#: Scores of clean tokens are counted in steps of so many nats.
+STEP = 1e-4
 
 
 def stem(word: bytes) -> bytes:
@@ -46,13 +48,8 @@ def log_odds(toxic: float, clean: float, prior: float, weight: float = 2.0) -> f
 class Scores:
     """Scores of tokens and stems, in nats: their log-odds by the number of texts of a class that hold them, less DRIFT."""
 
-    def __init__(self, texts: list[list[bytes]], y: np.ndarray):
-        words, stems, total = (Counter(), Counter()), (Counter(), Counter()), [1, 1]
-        for tokens, c in zip(texts, y, strict=True):
-            held = set(tokens)
-            words[c].update(held)
-            stems[c].update({stem(w) for w in held})
-            total[c] += len(held)
+    def __init__(self, words: tuple[Counter, Counter], stems: tuple[Counter, Counter]):
+        total = [1 + sum(c.values()) for c in words]
         # Counts as if both classes had as many tokens as the smaller one.
         f = [min(total) / t for t in total]
         raw = {s: log_odds(stems[1][s] * f[1], stems[0][s] * f[0], 0.0) for s in stems[0].keys() | stems[1].keys()}
@@ -93,18 +90,19 @@ def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     return [(f, e, float(h - lo)) for f, e, lo, h, _ in kept]
 
 
-def solve_lambda(scores: np.ndarray) -> float:
+def solve_lambda(scores: np.ndarray, times: np.ndarray | None = None) -> float:
     """The positive root of mean(exp(lambda s)) = 1, TOP at most (too few positive scores give any value), and TOP where there is none."""
-    if scores.size == 0 or scores.max() <= 0 or scores.mean() >= 0:
+    if scores.size == 0 or scores.max() <= 0 or np.average(scores, weights=times) >= 0:
         return TOP
+    mean = lambda x: np.average(np.exp(np.minimum(x * scores, 700)), weights=times)
     lo, hi = 0.0, 1.0
     for _ in range(60):
-        if np.mean(np.exp(np.minimum(hi * scores, 700))) > 1:
+        if mean(hi) > 1:
             break
         lo, hi = hi, hi * 2
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if np.mean(np.exp(np.minimum(mid * scores, 700))) < 1 else (lo, mid)
+        lo, hi = (mid, hi) if mean(mid) < 1 else (lo, mid)
     return min(TOP, (lo + hi) / 2)
 
 
@@ -130,38 +128,73 @@ class Model:
         return float(1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * statistic + self.offset)))))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 2500) -> Model:
-    """Fit on at most max_rows labelled rows per class outside fold 0. Without rows of both classes every text scores the smoothed share of class 1."""
-    rows = training_rows(docs, labels, label, max_rows).select("y", F.col("text").cast("binary").alias("text"))
+def text_counts(rows: DataFrame) -> dict[int, tuple]:
+    """Counts of texts per word and stem, by half and class of the rows (y, half, text): {half: ((words, words), (stems, stems))}.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Spark adds up what the texts hold; the driver receives each distinct word and stem of a half and class once.
+    """
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            # A row's words, separated by a space: white space and case no longer matter.
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([b" ".join((t.as_py() or b"").lower().split()) for t in b.column(1)], pa.binary())], ["y", "x"])
-
-    got = rows.mapInArrow(count, "y int, x binary").toArrow()
-    x, y = [t.split() for t in got.column("x").to_pylist()], np.array(got.column("y").to_pylist(), np.int8)
-    order = sorted(range(len(x)), key=lambda i: (x[i], y[i]))
-    x, y = [x[i] for i in order], y[order]
-    scores = Scores(x, y)
-    if len(set(y.tolist())) < 2:
-        prior = (float((y == 1).sum()) + 0.5) / (len(y) + 1)
+            y, half, kind, token = [], [], [], []
+            for c, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                found = set((t.as_py() or b"").lower().split())
+                for k, some in enumerate((found, {stem(w) for w in found})):
+                    token.extend(some)
+                    y += [c] * len(some)
+                    half += [h] * len(some)
+                    kind += [k] * len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(half, pa.int32()), pa.array(kind, pa.int32()), pa.array(token, pa.binary())], ["y", "half", "kind", "token"])
+
+    out = {h: ((Counter(), Counter()), (Counter(), Counter())) for h in (0, 1)}
+    counts = rows.mapInArrow(held, "y int, half int, kind int, token binary").groupBy("y", "half", "kind", "token").agg(F.count("*").alias("n"))
+    for y, half, kind, token, n in zip(*(c.to_pylist() for c in counts.toArrow().columns), strict=True):
+        out[half][kind][y][token] = n
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 2500) -> Model:
+    """Fit on at most max_rows labelled rows per class outside fold 0. Without rows of both classes every text scores the smoothed share of class 1.
+
+    The texts stay on the executors: the driver receives token counts, then a row's segment sums, its largest one and how often its tokens have which score.
+    """
+    text = F.col("text").cast("binary")
+    rows = training_rows(docs, labels, label, max_rows).select(F.col("y").cast("int").alias("y"), F.pmod(F.shiftright(F.xxhash64(text), 7), F.lit(2)).cast("int").alias("half"), text.alias("text"))
+    rows = cut(rows)
+    held = text_counts(rows)
+    scores = Scores(*(tuple(held[0][k][c] + held[1][k][c] for c in (0, 1)) for k in (0, 1)))
+    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(sizes) < 2:
+        prior = (float(sizes.get(1, 0)) + 0.5) / (sum(sizes.values()) + 1)
         return Model(scores, 1.0, 1e9, 1.0, math.log(prior / (1 - prior)))
     # Each row is judged by the counts of the other half, so that the calibration sees unknown words as new rows have them.
-    half = np.arange(len(y)) % 2
-    other = [Scores([t for t, h in zip(x, half, strict=True) if h != k], y[half != k]) for k in (0, 1)]
-    judged = [other[h].of(tokens) for tokens, h in zip(x, half, strict=True)]
-    clean = np.concatenate([s for s, c in zip(judged, y, strict=True) if c == 0] or [np.zeros(0)])
-    lam = solve_lambda(clean)
+    other = docs.sparkSession.sparkContext.broadcast([Scores(*held[1 - h]) for h in (0, 1)])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y, n, sums, steps, times = [], [], [], [], []
+            for c, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                a = other.value[h].of((t.as_py() or b"").lower().split())
+                step, k = np.unique(np.round(a / STEP).astype(np.int32), return_counts=True)
+                y.append(c)
+                n.append(len(a))
+                sums.append([x for _, _, x in segments(a)])
+                steps.append(step if c == 0 else step[:0])
+                times.append(k if c == 0 else k[:0])
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(n, pa.int64()), pa.array(sums, pa.list_(pa.float64())), pa.array(steps, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int64()))], ["y", "n", "sums", "steps", "times"])
+
+    judged = rows.mapInArrow(judge, "y int, n long, sums array<double>, steps array<int>, times array<bigint>").toArrow().to_pylist()
+    judged.sort(key=lambda r: (r["y"], r["n"], r["sums"]))
+    drop_cut(rows)
+    counts: Counter = Counter()
+    for r in judged:
+        counts.update(dict(zip(r["steps"], r["times"], strict=True)))
+    lam = solve_lambda(np.array(list(counts), float) * STEP, np.array(list(counts.values()), float))
     # Gumbel: P(max > x) = 1 - exp(-K n exp(-lambda x)). K fits the upper end of clean maxima, where significance is decided.
-    tops = [lam * max((s for _, _, s in segments(a)), default=0.0) - math.log(len(a)) for a, c in zip(judged, y, strict=True) if c == 0 and len(a)]
+    tops = [lam * max(r["sums"], default=0.0) - math.log(r["n"]) for r in judged if r["y"] == 0 and r["n"]]
     log_k = (float(np.quantile(tops, 1 - RISK)) if tops else 0.0) + math.log(-math.log(1 - RISK))
     m = Model(scores, lam, log_k, 1.0, 0.0)
-    stat = []
-    for a in judged:
-        bar = m.bar(len(a))
-        stat.append(m.statistic([(i, j, lam * s - bar) for i, j, s in segments(a) if lam * s > bar]))
-    m.slope, m.offset = platt(np.array(stat), y)
+    stat = [m.statistic([(0, 0, lam * x - m.bar(r["n"])) for x in r["sums"] if lam * x > m.bar(r["n"])]) for r in judged]
+    m.slope, m.offset = platt(np.array(stat), np.array([r["y"] for r in judged]))
     return m
 
 
