@@ -2,46 +2,51 @@
 
 Each stage takes (spark, docs, sf_dir), with docs being what the stage before kept, and returns a DataFrame; all but the last return
 the columns of documents. run() writes each stage's rows as Parquet and reads them again for the next.
+
+In every stage columns beside doc_id, text and source may be missing, null or called anything, an empty table gives an empty
+result, and what a stage does with null, empty and repeated rows is told in its docstring.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docmosaic.llm.common import cut
 from docmosaic.llm.decontam import without_leaks
 from docmosaic.llm.mixing import mix_sources
-from docmosaic.llm.nbsvm import score_quality
-from docmosaic.llm.setjoin import near_duplicates
+from docmosaic.llm.nbsvm import accepted
+from docmosaic.llm.setjoin import one_of_each
 from docmosaic.llm.suffix import without_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts (score of 0.3 or more), as they are."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    extra = tuple(c for c in docs.columns if c not in ("doc_id", "held_out", "score", "predicted"))
-    return score_quality(docs, labels, keep=extra).where("predicted = 1").select(*docs.columns)
+    """Documents that the classifier accepts (score of 0.3 or more), as they are. Null and empty texts are scored like others; repeated rows stay or go together."""
+    return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each connected group of near duplicates (five-word shingles, similarity of 0.8 or more) the document of the smallest id, once."""
-    groups = near_duplicates(docs, 5, 80, 100).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(groups, F.col("doc_id") == F.col("__keep")).drop("__keep").dropDuplicates(["doc_id"])
+    """Of each connected group of near duplicates (five-word shingles, similarity of 0.8 or more) the document of the smallest id, once.
+
+    Wordless texts are no duplicates of anything and stay; of repeated rows one stays; two texts under one id are two documents.
+    """
+    return one_of_each(docs, 5, 80, 100)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings of 200 and more that occur again, in the same or another document."""
+    """Texts without the byte strings of 200 and more that occur again, in the same or another document. All rows stay, null and short texts as they are."""
     return without_repeats(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark. Null and empty texts hold none and stay."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken."""
+    """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken.
+
+    Wordless texts are taken 0 times, repeated rows each by itself; documents without source are a source of their own.
+    """
     return mix_sources(docs)
 
 
@@ -53,7 +58,7 @@ STAGES = [
     ("source_mix", source_mix),
 ]
 
-#: No stage but the last is expressible in SQL; tests hold the stages against brute force.
+#: No stage but the last is expressible in SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
