@@ -27,9 +27,11 @@ def fold(doc_id: Column, k: int = 5) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests, local mode)."""
+    """The folder all executors share; a temporary one only in local mode, where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="docmosaic-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -55,6 +57,11 @@ def drop_cut(*frames: DataFrame) -> None:
                 p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Collect the driver's garbage, so that Spark's cleaner deletes the shuffle files of queries that are over; a driver with memory to spare may not for half an hour."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small driver-side table as a plain local relation, without an RDD."""
     from pyspark.sql.types import StructType

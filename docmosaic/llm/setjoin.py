@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, mix, shingle_set, words
+from .common import cut, drop_cut, free_shuffles, mix, shingle_set, words
 from .components import components
 
 #: Index entries a batch, nodes compared with one copy of their pivot.
@@ -38,7 +38,7 @@ FLUSH, STAR = 1 << 18, 128
 #: Entries that similar large sets share beyond one: LOOSE or one in SHARE of all, whichever is more; what a chance agreement costs in entries.
 LOOSE, SHARE, CHANCE = 12, 6, 30
 #: Groups of so many nodes are compared pair by pair; an element that more nodes than WIDE share on both sides makes a group of its own, for so many rounds.
-FEW, WIDE, ROUNDS = 8, 64, 8
+FEW, WIDE, ROUNDS = 32, 64, 8
 GOLD, SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -354,6 +354,7 @@ def apart_pairs(group: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame, D
     of = Window.partitionBy("pivot", "node")
     far = marked.unionByName(added).join(rarity, ["pivot", "e"]).select("pivot", "node", "e", F.row_number().over(of.orderBy("c", "e")).alias("at"), F.count("*").over(of).alias("d"))
     far = cut(far)
+    free_shuffles(group.sparkSession)
     sized = group.select("pivot", "node", "label", "n").join(far.where("at = 1").select("pivot", "node", "d"), ["pivot", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0).cast("long")))
     sized = cut(sized.withColumn("g", F.col("d") * total - F.col("n") * less))
     near = sized.groupBy("pivot").agg(F.min(F.struct("g", "node")).alias("q")).select("pivot", F.col("q.g").alias("g0"), F.col("q.node").alias("q"))
@@ -395,6 +396,7 @@ def linked(held: DataFrame, sets: DataFrame, sizes: DataFrame, t: Threshold) ->
         top = ranked.groupBy("sig").agg(F.max(rank).alias("top"))
         tried = cut(ranked.join(top, "sig").select("node", F.col("top.node").alias("pivot")).where("node <> pivot").distinct())
         told = cut(differences(sets, tried, t))
+        free_shuffles(sets.sparkSession)
         links.append(cut(both(told.where("similar"))))
         label = components(reduce(DataFrame.union, links))
         group = told.join(label, "node", "left").select("pivot", "node", "m", F.coalesce("label", "node").alias("label"))
@@ -424,12 +426,14 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
     t = Threshold(num, den)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     met = cut(meetings(index_rows(docs, n, t)))
+    free_shuffles(docs.sparkSession)
     known = met.where("info is not null").select("doc_id", "node", "info.*")
     hits = met.where("info is null").select("sig", "node", "pivot")
     sizes = cut(known.select("node", "n", "few0", "few1").distinct())
     held = shared_enough(hits.select("sig", "node").union(hits.select("sig", "pivot")).distinct(), sizes)
     reps = known.groupBy("node").agg(F.min("key").alias("key")).join(held.select("node").distinct(), "node")
     sets = cut(shingle_sets(docs, reps, n))
+    free_shuffles(docs.sparkSession)
     links = linked(held, sets, sizes, t)
     final = components(links)
     member = known.join(final, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("class"))
