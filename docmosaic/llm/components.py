@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, free_shuffles
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,6 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = cut(least.join(up, F.col("label") == F.col("parent"), "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label")))
         now = new.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         drop_cut(labels)
+        free_shuffles(edges.sparkSession)
         labels = new
         if now == total:
             break

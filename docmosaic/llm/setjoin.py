@@ -329,6 +329,7 @@ def shared_enough(held: DataFrame, sizes: DataFrame) -> DataFrame:
             rows = rows.withColumn("k", F.count("*").over(of))
         new = several(rows.where("k > spare"))
         drop_cut(held)
+        free_shuffles(sizes.sparkSession)
         held = new
     return held.select("sig", "node")
 
@@ -356,6 +357,7 @@ def apart_pairs(group: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame, D
     far = cut(far)
     free_shuffles(group.sparkSession)
     sized = group.select("pivot", "node", "label", "n").join(far.where("at = 1").select("pivot", "node", "d"), ["pivot", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0).cast("long")))
+    free_shuffles(group.sparkSession)
     sized = cut(sized.withColumn("g", F.col("d") * total - F.col("n") * less))
     near = sized.groupBy("pivot").agg(F.min(F.struct("g", "node")).alias("q")).select("pivot", F.col("q.g").alias("g0"), F.col("q.node").alias("q"))
     sized = sized.join(near, "pivot")
@@ -377,6 +379,7 @@ def apart_pairs(group: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame, D
     pairs = cut(met.select(F.greatest("x_node", "y_node").alias("node"), F.least("x_node", "y_node").alias("pivot")).distinct())
     again = cut(rows.where("wide").select(F.xxhash64("pivot", "e").alias("sig"), "node").distinct())
     drop_cut(freq, far, sized, rows)
+    free_shuffles(group.sparkSession)
     return sure, pairs, again
 
 
@@ -408,6 +411,7 @@ def linked(held: DataFrame, sets: DataFrame, sizes: DataFrame, t: Threshold) ->
         sure, pairs, again = apart_pairs(group.where(F.col("m") > FEW).join(diffs, ["pivot", "node"]), t)
         links += [cut(both(verified(few_.union(pairs).distinct()))), cut(both(sure))]
         drop_cut(ranked, tried, told, label, mixed, group, sure, pairs)
+        free_shuffles(sets.sparkSession)
         held = again
         if held.isEmpty():
             break
@@ -440,6 +444,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
     least = member.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     out = cut(member.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")))
     drop_cut(met, sizes, held, sets, final)
+    free_shuffles(out.sparkSession)
     return out
 
 
