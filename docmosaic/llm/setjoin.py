@@ -37,8 +37,8 @@ from .components import components
 FLUSH, STAR = 1 << 18, 128
 #: Entries that similar large sets share beyond one: LOOSE or one in SHARE of all, whichever is more; what a chance agreement costs in entries.
 LOOSE, SHARE, CHANCE = 12, 6, 30
-#: Groups of so many nodes are compared pair by pair; an element that more nodes than WIDE share on both sides makes a group of its own, for so many rounds.
-FEW, WIDE, ROUNDS = 32, 64, 8
+#: Nodes of an entry of up to SMALL nodes, and of a pivot of up to FEW, are compared pair by pair where not connected yet; an element that more nodes than WIDE share on both sides makes a group of its own, for so many rounds.
+SMALL, FEW, WIDE, ROUNDS = 4, 32, 64, 8
 GOLD, SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -250,9 +250,9 @@ def shingle_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
 
 
 def beside_pivot(sets: DataFrame, payload: str, pairs: DataFrame) -> DataFrame:
-    """(pivot, part, node, rank, m, payload) sorted: the nodes of a pivot, m in all, in parts of about STAR, each with the pivot itself before them (rank 0)."""
-    groups = pairs.groupBy("pivot").agg(F.count("*").alias("m")).withColumn("parts", F.ceil(F.col("m") / STAR))
-    members = pairs.join(groups, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", F.lit(1).alias("rank"), "m")
+    """(pivot, part, node, rank, m, payload) sorted: the nodes of a pivot in parts of about STAR, each with the pivot itself before them (rank 0); m counts the pivot's wide pairs, 0 for other pairs."""
+    groups = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / STAR).alias("parts"), F.count_if("wide").alias("m"))
+    members = pairs.join(groups, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", F.lit(1).alias("rank"), F.when(F.col("wide"), F.col("m")).otherwise(F.lit(0)).alias("m"))
     heads = groups.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("node"), F.lit(0).alias("rank"), "m")
     rows = members.unionByName(heads).join(sets.select("node", payload), "node").select("pivot", "part", "node", "rank", "m", payload)
     return rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "rank")
@@ -282,11 +282,11 @@ def passing(sets: DataFrame, payload: str, pairs: DataFrame, test: Callable[[np.
             hit = [(node, pivot) for node, pivot, _, x, y in rows if test(x, y, t)]
             yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hit], pa.int64()) for i in (0, 1)], ["node", "pivot"])
 
-    return beside_pivot(sets, payload, pairs).mapInArrow(compare, "node long, pivot long").distinct()
+    return beside_pivot(sets, payload, pairs.withColumn("wide", F.lit(False))).mapInArrow(compare, "node long, pivot long").distinct()
 
 
 def differences(sets: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
-    """(node, pivot, m, similar, diff): which pairs are similar and, in groups of more than FEW nodes, the elements that only one of both holds."""
+    """(node, pivot, m, similar, diff) of pairs (node, pivot, wide): which are similar and, for pivots of more than FEW wide pairs, what elements only one of a wide pair holds."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in next_to_pivots(batches):
             node, pivot, size, similar, diff = [], [], [], [], [np.empty(0, np.int64)]
@@ -309,7 +309,8 @@ def shared_enough(held: DataFrame, sizes: DataFrame) -> DataFrame:
 
     Two similar sets share more entries of one join than few() names for either. So sets that share fewer with all others drop out
     (twice, as each removal leaves others with fewer), and each set can do without that many entries, those that most sets share:
-    of the entries that two sets share, at least the one that fewest sets share (ties by the entry) stays in both.
+    of the entries that two sets share, at least the one that fewest sets share (ties by the entry) stays in both. An entry's pivot is
+    chosen before, so that a group of copies has few pivots. Result: (sig, node, pivot, nodes).
     """
     part, spare = F.pmod("sig", F.lit(2)), F.when(F.pmod("sig", F.lit(2)) == 0, F.col("few0")).otherwise(F.col("few1"))
 
@@ -320,7 +321,7 @@ def shared_enough(held: DataFrame, sizes: DataFrame) -> DataFrame:
         return out
 
     held = several(held)
-    for last in (False, False, True):
+    for spare_round, last in enumerate((False, False, True)):
         rows = held.join(sizes, "node").select("sig", "node", "nodes", part.alias("part"), spare.alias("spare"))
         of = Window.partitionBy("node", "part")
         if last:
@@ -331,7 +332,16 @@ def shared_enough(held: DataFrame, sizes: DataFrame) -> DataFrame:
         drop_cut(held)
         free_shuffles(sizes.sparkSession)
         held = new
-    return held.select("sig", "node")
+        if not last and spare_round == 1:
+            tops = cut(pivots(held.select("sig", "node")))
+    out = cut(held.join(tops, "sig").select("sig", "node", "pivot", "nodes"))
+    drop_cut(held, tops)
+    return out
+
+
+def pivots(held: DataFrame) -> DataFrame:
+    """(sig, pivot): of the nodes that share an entry the one with most entries."""
+    return held.join(held.groupBy("node").agg(F.count("*").alias("k")), "node").groupBy("sig").agg(F.max(F.struct("k", "node")).alias("top")).select("sig", F.col("top.node").alias("pivot"))
 
 
 def apart_pairs(group: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -347,14 +357,16 @@ def apart_pairs(group: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame, D
     freq = own.join(group.select("pivot", "node", "m"), ["pivot", "node"]).groupBy("pivot", "e").agg(F.count("*").alias("c"), F.max("m").alias("m"))
     freq = cut(freq.withColumn("turned", F.col("c") * 2 > F.col("m")))
     parts = F.ceil(F.col("m") / STAR)
-    turned = freq.where("turned").select("pivot", "e", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    turned = freq.where("turned").select("pivot", "e", (F.col("m") - F.col("c")).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
     spread = group.select("pivot", "node", F.pmod(F.xxhash64("node"), parts).alias("part"))
-    marked = own.join(freq.where("turned").select("pivot", "e"), ["pivot", "e"], "left_anti")
-    added = spread.join(turned, ["pivot", "part"]).select("pivot", "node", "e").join(own, ["pivot", "node", "e"], "left_anti")
-    rarity = freq.select("pivot", "e", F.when(F.col("turned"), F.col("m") - F.col("c")).otherwise(F.col("c")).alias("c"))
+    told = cut(own.join(freq.select("pivot", "e", "c", "turned"), ["pivot", "e"]).select("pivot", "node", "e", "c", "turned"))
+    free_shuffles(group.sparkSession)
+    marked, held = told.where("not turned").drop("turned"), told.where("turned").select("pivot", "node", "e")
+    added = spread.join(turned, ["pivot", "part"]).select("pivot", "node", "e", "c").join(held, ["pivot", "node", "e"], "left_anti")
     of = Window.partitionBy("pivot", "node")
-    far = marked.unionByName(added).join(rarity, ["pivot", "e"]).select("pivot", "node", "e", F.row_number().over(of.orderBy("c", "e")).alias("at"), F.count("*").over(of).alias("d"))
+    far = marked.unionByName(added).select("pivot", "node", "e", F.row_number().over(of.orderBy("c", "e")).alias("at"), F.count("*").over(of).alias("d"))
     far = cut(far)
+    drop_cut(told)
     free_shuffles(group.sparkSession)
     sized = group.select("pivot", "node", "label", "n").join(far.where("at = 1").select("pivot", "node", "d"), ["pivot", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0).cast("long")))
     free_shuffles(group.sparkSession)
@@ -384,7 +396,7 @@ def apart_pairs(group: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame, D
 
 
 def linked(held: DataFrame, sets: DataFrame, sizes: DataFrame, t: Threshold) -> DataFrame:
-    """(a, b) of links that connect all similar nodes among those that share an entry of held (sig, node)."""
+    """(a, b) of links that connect all similar nodes among those that share an entry of held (sig, node, pivot, nodes)."""
     links: list[DataFrame] = []
     both = lambda df: df.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     verified = lambda pairs: passing(sets, "shingles", passing(sets, "sketch", pairs, may_be_similar, t), are_similar, t)
@@ -394,27 +406,27 @@ def linked(held: DataFrame, sets: DataFrame, sizes: DataFrame, t: Threshold) ->
             rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") > F.col("y.node"))).select("x.node", F.col("y.node").alias("pivot")).distinct()
             links.append(cut(both(verified(rest))))
             break
-        rank = F.struct("k", "node")
-        ranked = cut(held.join(held.groupBy("node").agg(F.count("*").alias("k")), "node").select("sig", "node", "k"))
-        top = ranked.groupBy("sig").agg(F.max(rank).alias("top"))
-        tried = cut(ranked.join(top, "sig").select("node", F.col("top.node").alias("pivot")).where("node <> pivot").distinct())
+        tried = cut(held.where("node <> pivot").groupBy("node", "pivot").agg((F.max("nodes") > SMALL).alias("wide")))
         told = cut(differences(sets, tried, t))
         free_shuffles(sets.sparkSession)
         links.append(cut(both(told.where("similar"))))
         label = components(reduce(DataFrame.union, links))
-        group = told.join(label, "node", "left").select("pivot", "node", "m", F.coalesce("label", "node").alias("label"))
+        tight = held.where(F.col("nodes") <= SMALL).join(label, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+        x, y = tight.alias("x"), tight.alias("y")
+        direct = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") < F.col("y.label"))).select(F.greatest("x.node", "y.node").alias("node"), F.least("x.node", "y.node").alias("pivot")).distinct()
+        group = told.where("m > 0").join(label, "node", "left").select("pivot", "node", "m", F.coalesce("label", "node").alias("label"))
         mixed = cut(group.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("pivot"))
         group = cut(group.distinct().join(mixed, "pivot").join(sizes.select("node", "n"), "node"))
         x, y = group.where(F.col("m") <= FEW).alias("x"), group.where(F.col("m") <= FEW).alias("y")
         few_ = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.label") < F.col("y.label"))).select(F.greatest("x.node", "y.node").alias("node"), F.least("x.node", "y.node").alias("pivot"))
         diffs = told.where(F.col("m") > FEW).select("pivot", "node", "diff").dropDuplicates(["pivot", "node"])
         sure, pairs, again = apart_pairs(group.where(F.col("m") > FEW).join(diffs, ["pivot", "node"]), t)
-        links += [cut(both(verified(few_.union(pairs).distinct()))), cut(both(sure))]
-        drop_cut(ranked, tried, told, label, mixed, group, sure, pairs)
+        links += [cut(both(verified(direct.union(few_).union(pairs).distinct()))), cut(both(sure))]
+        drop_cut(tried, told, label, mixed, group, sure, pairs)
         free_shuffles(sets.sparkSession)
-        held = again
-        if held.isEmpty():
+        if again.isEmpty():
             break
+        held = cut(again.join(pivots(again), "sig").join(again.groupBy("sig").agg(F.count("*").alias("nodes")), "sig"))
     return reduce(DataFrame.union, links)
 
 
@@ -435,7 +447,8 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
     hits = met.where("info is null").select("sig", "node", "pivot")
     sizes = cut(known.select("node", "n", "few0", "few1").distinct())
     held = shared_enough(hits.select("sig", "node").union(hits.select("sig", "pivot")).distinct(), sizes)
-    reps = known.groupBy("node").agg(F.min("key").alias("key")).join(held.select("node").distinct(), "node")
+    needed = held.select("node").union(held.select("pivot")).distinct()
+    reps = known.groupBy("node").agg(F.min("key").alias("key")).join(needed, "node")
     sets = cut(shingle_sets(docs, reps, n))
     free_shuffles(docs.sparkSession)
     links = linked(held, sets, sizes, t)

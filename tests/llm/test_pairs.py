@@ -65,6 +65,7 @@ def test_groups_of_copies_lose_no_link(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for few, wide, rounds, n, num in ((8, 64, 8, 4, 85), (1, 1, 8, 5, 80), (1, 0, 1, 4, 85)):
         monkeypatch.setattr(setjoin, "FEW", few)
+        monkeypatch.setattr(setjoin, "SMALL", min(few, 4))
         monkeypatch.setattr(setjoin, "WIDE", wide)
         monkeypatch.setattr(setjoin, "ROUNDS", rounds)
         got = sorted(tuple(r) for r in setjoin.near_duplicates(df, n, num, 100).collect())
