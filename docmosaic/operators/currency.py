@@ -84,17 +84,18 @@ def dag_targets(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "parent", "dated", recital.alias("recital"), F.coalesce("declared", recital).alias("target"))
 
 
-def cycles(edges: DataFrame, max_nodes: int = 1 << 20) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """GR4: nodes on a loop of edges (src, tgt; at most one per src), by pointer doubling.
 
-    After k rounds a node points 2**k steps ahead, if there is a way that long. Where 2**k is at least the number of nodes that a way
-    can have (max_nodes), only loops are pointed at. One join per round, rows that run out drop out.
+    After k rounds a node points 2**k steps ahead; nodes whose way ends sooner drop out. Once a round changes neither the number of
+    nodes nor that of the nodes pointed at, every way leads into a loop and only loops are pointed at.
     """
-    step, hops = edges.select(F.col("src").alias("n"), F.col("tgt").alias("to")), 1
-    while hops < max_nodes:
-        step = step.join(step.select(F.col("n").alias("m"), F.col("to").alias("far")), F.col("to") == F.col("m")).select("n", F.col("far").alias("to"))
-        hops *= 2
-        step = cut(step)  # else every round would compute all rounds before it twice
+    step = cut(edges.select(F.col("src").alias("n"), F.col("tgt").alias("to")))
+    size = lambda s: tuple(s.agg(F.count("*"), F.count_distinct("to")).first())
+    before = None
+    while (now := size(step)) != before:
+        before = now
+        step = cut(step.join(step.select(F.col("n").alias("m"), F.col("to").alias("far")), F.col("to") == F.col("m")).select("n", F.col("far").alias("to")))
     return step.select(F.col("to").alias("src")).distinct()
 
 

@@ -20,7 +20,7 @@ def enrich(evidence: DataFrame, sections: DataFrame, facts: DataFrame) -> DataFr
 def capped_links(edges: DataFrame, facts: DataFrame, caps: dict[str, int] = LINK_CAPS) -> DataFrame:
     """Per source and relation the first linked summaries by via and target, as ordered arrays. edges: src, rel, tgt, via; facts: fact_id, summary."""
     cap = F.create_map(*(F.lit(x) for kv in caps.items() for x in kv))
-    j = edges.join(facts, F.col("tgt") == F.col("fact_id")).dropDuplicates(["src", "rel", "summary"])
+    j = edges.join(facts, F.col("tgt") == F.col("fact_id")).groupBy("src", "rel", "summary").agg(F.min(F.struct("via", "tgt")).alias("at")).select("src", "rel", "summary", "at.*")
     r = j.withColumn("n", F.row_number().over(W.partitionBy("src", "rel").orderBy("via", "tgt"))).where(F.col("n") <= F.coalesce(cap[F.col("rel")], F.lit(2)))
     return r.groupBy("src", "rel").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "summary"))), lambda x: x["summary"]).alias("links"))
 
@@ -98,8 +98,10 @@ def term_usage(texts: DataFrame, terms: DataFrame, hub_fraction: float = 0.3, mi
     t = terms.select("term_id", norm(F.col("term")).alias("term")).where(F.length("term") >= min_len).withColumn("word", F.regexp_extract("term", r"[a-z0-9]+", 0)).where("word <> ''")
     x = texts.select("text_id", norm(F.col("body")).alias("body"))
     n = texts.select("text_id").distinct().agg(F.count("*").alias("n_texts"))
-    w = x.select("text_id", "body", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
-    hit = w.join(t, "word").where(F.col("text_id").cast("string") != F.col("term_id").cast("string")).where(F.expr(r"body rlike concat('(?<!\\w)\\Q', term, '\\E(?!\\w)')")).select("text_id", "term_id", "term").distinct()
+    w = x.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
+    met = w.join(t, "word").where(F.col("text_id").cast("string") != F.col("term_id").cast("string")).select("text_id", "term_id", "term")
+    # Bodies don't travel with their words; they are fetched for the texts that hold a term's first word.
+    hit = met.join(x, "text_id").where(F.expr(r"body rlike concat('(?<!\\w)\\Q', term, '\\E(?!\\w)')")).select("text_id", "term_id", "term").distinct()
     hubs = hit.groupBy("term").agg(F.count("*").alias("hits")).join(F.broadcast(n)).where(F.col("hits") > F.greatest(F.lit(1.0), hub_fraction * F.col("n_texts"))).select("term")
     return hit.join(hubs, "term", "left_anti").select("text_id", "term_id", "term")
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.shapes import area
 from ..functions.text import digit_swapped
+from .ranking import similar
 
 
 def end_pages(sections: DataFrame, last_page: str = "total_pages") -> DataFrame:
@@ -127,46 +128,52 @@ def confident(lines: DataFrame, least: float = 0.30) -> DataFrame:
 
 
 def corrected(lines: DataFrame, corrections: DataFrame, missed: DataFrame) -> DataFrame:
-    """Lines (line_id, text, x0..y1) with corrections (line_id, fixed) and missed lines (after_id, text) between; a missed one that repeats a neighbour is dropped, its box is the gap."""
+    """Lines (line_id, text, x0..y1) with corrections (line_id, fixed) and missed lines (after_id, text) between; a missed one that is a near duplicate of a neighbour (F23) is dropped, its box is the gap."""
     a = lines.join(corrections, "line_id", "left").select("page", F.col("line_id").cast("double").alias("ord"), F.coalesce("fixed", "text").alias("text"), "x0", "y0", "x1", "y1", F.lit(False).alias("added"))
     m = missed.select("page", (F.col("after_id") + 0.5).alias("ord"), "text", *(F.lit(None).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), F.lit(True).alias("added"))
     w = W.partitionBy("page").orderBy("ord")
     u = a.unionByName(m)
-    same = F.coalesce(F.lower("text") == F.lower(F.lag("text").over(w)), F.lit(False)) | F.coalesce(F.lower("text") == F.lower(F.lead("text").over(w)), F.lit(False))
     gaps = {"x0": F.least(F.lag("x0").over(w), F.lead("x0").over(w)), "y0": F.lag("y1").over(w), "x1": F.greatest(F.lag("x1").over(w), F.lead("x1").over(w)), "y1": F.lead("y0").over(w)}
-    u = u.select("page", "ord", "text", "added", same.alias("__same"), *(F.coalesce(F.col(c), g).alias(c) for c, g in gaps.items()))
-    return u.where(~(F.col("added") & F.col("__same"))).drop("__same")
+    u = u.select("page", "ord", "text", "added", F.lag("text").over(w).alias("__before"), F.lead("text").over(w).alias("__after"), *(F.coalesce(F.col(c), g).alias(c) for c, g in gaps.items()))
+    own, more = u.where(~F.col("added")), u.where("added")
+    repeats = near_duplicate(F.col("text"), F.col("__before")) | near_duplicate(F.col("text"), F.col("__after"))
+    return own.unionByName(more.where(~repeats)).drop("__before", "__after")
 
 
-def _alnum(s: str | None) -> str:
-    return "".join(c for c in (s or "").lower() if c.isalnum())
+def letters(c: Column) -> Column:
+    """Lower-cased letters and digits of a text."""
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", "")
 
 
-def content_preserved(raw: str | None, proposed: str | None) -> float:
-    """share of the raw letters and digits that stand in runs of two and more in the proposal; 1 for none."""
-    from difflib import SequenceMatcher
+def pairs_of(x: Column) -> Column:
+    """All neighbouring pairs of characters of a text."""
+    return F.when(F.length(x) >= 2, F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
-    a, b = _alnum(raw), _alnum(proposed)
-    return sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size >= 2) / len(a) if a else 1.0
 
+def content_preserved(raw: Column, proposed: Column) -> Column:
+    """share of the raw letters and digits that belong to a pair of neighbours which the proposal has too; 1 for none."""
+    x, known = letters(raw), pairs_of(letters(proposed))
+    stays = F.transform(pairs_of(x), lambda g: F.array_contains(known, g))
+    kept = F.zip_with(F.concat(stays, F.array(F.lit(False))), F.concat(F.array(F.lit(False)), stays), lambda after, before: (after | before).cast("int"))
+    return F.when(F.length(x) == 0, F.lit(1.0)).otherwise(F.aggregate(kept, F.lit(0), lambda a, k: a + k) / F.length(x))
 
-def near_duplicate(a: str | None, b: str | None, least: float = 0.85) -> bool:
+
+def near_duplicate(a: Column, b: Column, least: float = 0.85) -> Column:
     """two lines of about the same letters and digits."""
-    from difflib import SequenceMatcher
 
-    x, y = _alnum(a), _alnum(b)
-    return bool(x and y) and SequenceMatcher(None, x, y, autojunk=False).ratio() >= least
+    @F.pandas_udf("double")
+    def likeness(p: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series([similar(x, y) if x and y else 0.0 for x, y in zip(p, q, strict=True)], dtype=float)
+
+    return likeness(letters(a), letters(b)) >= least
 
 
 def judged_corrections(lines: DataFrame, guard: float = 0.90, longest_free: int = 5, preserved: float = 0.50) -> DataFrame:
     """lines (raw, proposed, score) with rejected: a digit swapped in a line read with confidence (guard), or a line of longest_free and more letters that keeps less than preserved of them."""
 
-    @F.pandas_udf("double")
-    def kept(raw: pd.Series, proposed: pd.Series) -> pd.Series:
-        return pd.Series([content_preserved(a, b) if len(_alnum(a)) >= longest_free else 1.0 for a, b in zip(raw, proposed, strict=True)], dtype=float)
-
     swap = (F.col("score") >= guard) & digit_swapped(F.col("raw"), F.col("proposed"))
-    return lines.withColumn("rejected", swap | (kept("raw", "proposed") < preserved))
+    lost = (F.length(letters(F.col("raw"))) >= longest_free) & (content_preserved(F.col("raw"), F.col("proposed")) < preserved)
+    return lines.withColumn("rejected", swap | lost)
 
 
 def assembled(lines: DataFrame, claims: DataFrame, fallback: str = "paragraph") -> DataFrame:

@@ -91,11 +91,26 @@ def similar(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
-def token_matches(needle: str, hay: set[str]) -> bool:
-    """equal; else never for tokens with a digit; else one holds the other (5 letters at least) or both start alike and are similar by 0.8."""
-    if needle in hay or any(c.isdigit() for c in needle):
-        return needle in hay
-    return any(min(len(needle), len(h)) >= 5 and (needle in h or h in needle or needle[0] == h[0] and similar(needle, h) >= 0.8) for h in hay)
+class WordIndex:
+    """the words of a question, ready to be met by many tokens: as a set, the longer ones as one line, and all by initial."""
+
+    def __init__(self, words: list[str], length: int = 5, least: float = 0.8):
+        self.exact, self.length, self.least = set(words), length, least
+        self.longer = [w for w in words if len(w) >= length]
+        self.line = "\n".join(self.longer)
+        self.initial: dict[str, list[str]] = {}
+        for w in self.longer:
+            self.initial.setdefault(w[0], []).append(w)
+
+    def meets(self, token: str) -> bool:
+        """A word itself; tokens of at least length letters without a digit also by holding a word, standing in one, or being like one with their initial."""
+        if token in self.exact:
+            return True
+        if len(token) < self.length or any(map(str.isdigit, token)):
+            return False
+        if token in self.line or any(w in token for w in self.longer):
+            return True
+        return max((similar(token, w) for w in self.initial.get(token[0], ())), default=0.0) >= self.least
 
 
 def fuzzy_scope(entities: DataFrame, name: str, question: str, generic: list[str], near: float = 0.6) -> DataFrame:
@@ -107,12 +122,12 @@ def fuzzy_scope(entities: DataFrame, name: str, question: str, generic: list[str
     @F.pandas_udf("struct<hit:boolean,score:double,nearness:double>")
     def judge(toks: pd.Series) -> pd.DataFrame:
         memo: dict[str, tuple[bool, float]] = {}
-        hay, out = set(words), []
+        index, out = WordIndex(words), []
         for ts in toks:
             for t in ts:
                 if t not in memo:
                     best = 0.0 if any(c.isdigit() for c in t) or len(t) < 4 else max((similar(t, h) for h in words if len(h) >= 4 and not any(c.isdigit() for c in h)), default=0.0)
-                    memo[t] = token_matches(t, hay), best
+                    memo[t] = index.meets(t), best
             got = [t for t in ts if memo[t][0]]
             out.append((bool(len(got) >= 2 or any(len(t) >= 5 for t in got)), len(got) / len(ts) if len(ts) else 0.0, max((memo[t][1] for t in ts), default=0.0)))
         return pd.DataFrame(out, columns=["hit", "score", "nearness"])

@@ -285,7 +285,7 @@ POINTERS = "CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 9 THE
 SELECT DISTINCT s AS src FROM w WHERE n = s""")
 def dag_cycle(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.expr(POINTERS).alias("tgt")).where("tgt is not null")
-    return C.cycles(e, 1 << 12)
+    return C.cycles(e)
 
 
 @query("""WITH d AS (SELECT o_custkey AS family, o_orderkey AS doc_id, o_orderstatus = 'F' AS base, CAST(o_orderdate AS DATE) AS dt, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS parent FROM orders),
@@ -333,17 +333,10 @@ def _usage(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("user_id").alias("email"), kind.alias("kind"), (F.col("event_id") % 100).alias("prompt_tokens"), F.lit(7).cast("long").alias("completion_tokens"), F.col("ts").alias("at"))
 
 
-@query("""WITH u AS (SELECT CAST(ts AS DATE) AS day, count(*) AS calls, sum(event_id % 100 + 7)::BIGINT AS tokens FROM events WHERE event_id % 97 = 0 GROUP BY 1), s AS (SELECT CAST(unnest(generate_series(max(day) - INTERVAL 6 DAY, max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM u)
-SELECT CAST(day AS VARCHAR) AS day, coalesce(calls, 0) AS calls, coalesce(tokens, 0) AS tokens FROM s LEFT JOIN u USING (day)""")
-def usage_daily_dense(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id % 97 = 0")  # a sparse log
-    u = e.select((F.col("event_id") % 100).alias("prompt_tokens"), F.lit(7).cast("long").alias("completion_tokens"), F.col("ts").alias("at"))
-    return A.dense_days(A.usage_daily(u), "day", ["calls", "tokens"], 7).withColumn("day", F.col("day").cast("string"))
-
 
 @query("""WITH u AS (SELECT CAST(ts AS DATE) AS day, count(*) AS calls, sum(event_id % 100 + 7)::BIGINT AS tokens FROM events GROUP BY 1), s AS (SELECT CAST(unnest(generate_series(max(day) - INTERVAL 6 DAY, max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM u)
 SELECT CAST(day AS VARCHAR) AS day, coalesce(calls, 0) AS calls, coalesce(tokens, 0) AS tokens FROM s LEFT JOIN u USING (day)""")
-def usage_daily_dense_all(spark: SparkSession, d: str) -> DataFrame:
+def usage_daily_dense(spark: SparkSession, d: str) -> DataFrame:
     return A.dense_days(A.usage_daily(_usage(spark, d)), "day", ["calls", "tokens"], 7).withColumn("day", F.col("day").cast("string"))
 
 

@@ -33,7 +33,7 @@ def test_dag(spark):
     t = C.dag_targets(docs)
     assert rows(t.select("doc_id", "target")) == [("x", "b"), ("y", "x"), ("z", "b")]
     e = df(spark, "src long, tgt long", (1, 2), (2, 3), (3, 1), (4, 1), (5, 6), (7, 7))
-    loops = C.cycles(e, 16)
+    loops = C.cycles(e)
     assert rows(loops) == [(1,), (2,), (3,), (7,)]
     assert rows(C.dag_conflicts(docs, t, df(spark, "src string", ("q",)))) == [("q", "cycle"), ("z", "self")]
 

@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_daily_usage_counts_all_events(spark):
-    got = {r.day: (r.calls, r.tokens) for r in entry.queries()["usage_daily_dense_all"](spark, SF).collect()}
+    got = {r.day: (r.calls, r.tokens) for r in entry.queries()["usage_daily_dense"](spark, SF).collect()}
     calls, tokens = Counter(), Counter()
     for r in spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_id", "cast(cast(ts as date) as string) as day").collect():
         calls[r.day] += 1
@@ -29,9 +29,9 @@ def test_texts_and_parts_are_read_whole(spark):
 
     queries = entry.queries()
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    got = {r.doc_id: r.words.split() for r in queries["query_words_all"](spark, SF).collect()}
+    got = {r.doc_id: r.words.split() for r in queries["query_words"](spark, SF).collect()}
     assert got == {i: sorted(set(re.findall("[a-z0-9]{4,}", t.lower()))) for i, t in docs.items()}
-    assert max(len(r.norm_value) for r in queries["pooled_values_all"](spark, SF).collect()) > 400
+    assert max(len(r.norm_value) for r in queries["pooled_values"](spark, SF).collect()) > 400
     p = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_brand", "p_size").collect()
     want = {(a[0], b[0]) for a in p for b in p if a[0] != b[0] and (a[1] == b[1] or a[2] == b[2])}
-    assert {(r.src, r.tgt) for r in queries["co_located_facts_all"](spark, SF).collect()} == want
+    assert {(r.src, r.tgt) for r in queries["co_located_facts"](spark, SF).collect()} == want
