@@ -145,8 +145,9 @@ def assets_without(assets: DataFrame, confidential: DataFrame) -> DataFrame:
 
 def verified_swaps(raw: DataFrame, verified: DataFrame) -> DataFrame:
     """Raw citation id to the verified one of the same document with the longest value that its snippet holds."""
-    j = raw.join(verified, (raw["doc_id"] == verified["doc_id"]) & (F.length(verified["value"]) >= 3) & F.contains(F.lower(raw["snippet"]), F.lower(verified["value"])))
-    return j.groupBy(raw["id"].alias("raw_id")).agg(F.max_by(verified["vid"], F.struct(F.length(verified["value"]), verified["vid"])).alias("verified_id"))
+    v = verified.select(F.col("doc_id").alias("v_doc"), "vid", F.col("value").alias("v_value")).where(F.length("v_value") >= 3)
+    j = raw.select(F.col("id").alias("raw_id"), "doc_id", "snippet").join(v, (F.col("doc_id") == F.col("v_doc")) & F.contains(F.lower("snippet"), F.lower("v_value")))
+    return j.groupBy("raw_id").agg(F.max_by("vid", F.struct(F.length("v_value"), "vid")).alias("verified_id"))
 
 
 def overlaid(records: DataFrame, overlay: DataFrame, keys: list[str]) -> DataFrame:
