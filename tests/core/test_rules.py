@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from docmosaic.functions import text as T
 from docmosaic.operators import currency as C
+from docmosaic.operators import graph as G
 from docmosaic.operators import joins as J
 from docmosaic.operators import layout as L
 from docmosaic.operators.ranking import WordIndex
@@ -42,3 +43,10 @@ def test_headings(spark):
     texts = ["Section 3.2: Payment", "ARTICLE 4 Term", "5.1 Fees", "schedule 2A. Rates", "Appendix 1 Map", "plain words"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.heading(F.col("t")).alias("h")).collect()
     assert [tuple(r.h) if r.h else None for r in got] == [("numbered_section", "3.2", "Payment"), ("article", "4", "Term"), ("numbered_subsection", "5.1", "Fees"), ("schedule", "2A", "Rates"), ("appendix", "1", "Map"), None]
+
+
+def test_children_of_a_deleted_document_stand_alone(spark):
+    docs = spark.createDataFrame([(1, None, "base"), (2, 1, "amends"), (3, 2, "amends")], "doc_id int, parent int, relation string")
+    nodes, left = G.without_document(docs.select("doc_id"), docs, 1)
+    assert sorted(r.doc_id for r in nodes.collect()) == [2, 3]
+    assert sorted(map(tuple, left.collect())) == [(2, None, "standalone"), (3, 2, "amends")]
