@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontam, mixing, nbsvm, pagediff, ppm, segments, setjoin, suffix, toxicity, treaps, url_rules
+from . import audio, decontam, mixing, nbsvm, pagediff, phrases, ppm, segments, setjoin, suffix, toxicity, treaps, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,10 +58,14 @@ def op11_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treaps.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
+def op12_pivot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.top_products(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 50, 5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_page_differencing, op2_spaced_seed_decontamination, op3_suffix_dedup, op4_ppm_scoring, op5_quality_classifier, op6_toxicity, op7_telephony_audio, op8_url_rules, op9_source_mixing, op10_ngram_jaccard, op11_inverted_treaps, op13_segment_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_page_differencing, op2_spaced_seed_decontamination, op3_suffix_dedup, op4_ppm_scoring, op5_quality_classifier, op6_toxicity, op7_telephony_audio, op8_url_rules, op9_source_mixing, op10_ngram_jaccard, op11_inverted_treaps, op12_pivot_phrases, op13_segment_topk)}
 
-ORACLES: dict[str, str] = {"op8_url_rules": url_rules.ORACLE, "op11_inverted_treaps": treaps.ORACLE, "op13_segment_topk": segments.ORACLE}
+ORACLES: dict[str, str] = {"op8_url_rules": url_rules.ORACLE, "op11_inverted_treaps": treaps.ORACLE, "op12_pivot_phrases": phrases.ORACLE, "op13_segment_topk": segments.ORACLE}
