@@ -4,8 +4,10 @@ A document of a source whose target is r times its size is wanted r times: floor
 p = r - floor(r). Two documents with open probabilities p, q and sizes a, b meet: mass moves between them in words (a*p + b*q
 stays as it is), at random in either direction so that no expectation changes, as far as one of the two becomes 0 or 1. The
 other goes on to the next meeting. Meetings happen inside blocks of about ``block`` documents; a block leaves at most one open
-document, and the open documents of a level make the blocks of the next one, up to a single one per source. So the words taken of
-a source differ from its target by half its last open document at most, and no task ever holds more than about a block of a key.
+document, and the open documents of a level make the blocks of the next one, up to a single one per source. There are as many blocks
+as the source with the most open documents needs, so that levels end after a logarithm of its documents, however many sources there
+are. So the words taken of a source differ from its target by half its last open document at most, and no task ever holds more than
+about a block of a key.
 Random numbers are hashes of the documents, so reruns agree.
 """
 
@@ -91,9 +93,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copie
     live = live.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / REPEATS))))
     live = live.withColumn("number", F.explode(F.sequence(F.col("part") * REPEATS, F.least(F.col("times"), (F.col("part") + 1) * REPEATS) - 1)))
     live = live.withColumn("h", F.xxhash64("doc_id", "size", "number", F.lit(seed)))
-    n = max(1, live.count())
     item = f"struct<h:bigint,doc_id:{dict(docs.dtypes)['doc_id']},size:bigint,p:double>"
     live, out, level = live.select("sid", F.struct("h", "doc_id", "size", "p").alias("x")), [fixed], 0
+    # Open documents of the source that has the most: what the number of blocks goes by.
+    most = lambda: live.groupBy("sid").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    n = most()
     while True:
         blocks = -(-n // block) if n > block else 1
         key = F.pmod(F.xxhash64(F.col("x.h"), F.col("x.size"), F.lit(level)), F.lit(blocks)) if blocks > 1 else F.lit(0).cast("long")
@@ -102,7 +106,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copie
         live = folded.where("r.o is not null").select("sid", F.col("r.o").alias("x"))
         if blocks == 1:
             break
-        n, level = live.count(), level + 1
+        n, level = most(), level + 1
     # The last open document of a source goes to the nearer end, so that the source misses its target by half its size at most.
     out.append(live.select("x.doc_id", "sid", "x.size", F.round("x.p").alias("p")))
     done = out[0]

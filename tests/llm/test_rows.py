@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -38,6 +39,17 @@ def test_differencing_of_plain_pages(spark):
     assert pagediff.extract_text(spark.createDataFrame([], FIELDS)).collect() == []
 
 
+def test_badly_nested_pages_take_linear_time():
+    n = 60_000
+    for page in ("<div>" * n + "</p>" * n, "<b>" * n + "<p>x</p>" * n, "<i><p>" * n + "</i>" * n, "<html><head>" + "<b>" * n + "<body>" * n + "end"):
+        start = time.process_time()
+        assert isinstance(pagediff.lines(page), list)
+        assert time.process_time() - start < 20
+    assert [x for x, _ in pagediff.lines("<div>a</p>b</section>c<p>d<b>e</div>f")] == ["a", "b", "c", "de", "f"]
+    text = "long words " * 300_000
+    assert pagediff.main_text(pagediff.lines(f"<body><article><p>{text}</article>"), None) == text.strip()
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(500):
@@ -286,3 +298,20 @@ def test_mix(spark):
     again = mixing.mix_sources(df.repartition(7)).collect()
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
     assert mixing.mix_sources(cases.none(spark)).collect() == []
+
+
+@pytest.mark.parametrize("sources", [1, 64, 65, 200])
+def test_mix_of_many_sources(spark, sources):
+    rng = random.Random(sources)
+    # Equal documents, a null source, sources of one document and one source with a third of all rows.
+    rows = [(i, cases.prose(rng, rng.choice([3, 3, 20])), None if i % sources == 0 else f"s{i % sources}", "en", 0, 1, 2, "z") for i in range(3 * sources)]
+    rows += [(9000 + i, "four equal words here", "s1", "en", 0, 1, 2, "z") for i in range(150)] + [(9990, "alone", "last", "en", 0, 1, 2, "z")]
+    got = mixing.mix_sources(spark.createDataFrame(rows, cases.SCHEMA).coalesce(2)).collect()
+    sizes, taken = Counter(), Counter()
+    for r in rows:
+        sizes[r[2]] += len(r[1].split())
+    want = brute_targets(sizes)
+    for r in got:
+        assert math.isclose(r.target, want[r.source], rel_tol=1e-9) and r.taken == r.copies * r.size and 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 10 + 1e-6 for s in sizes)
