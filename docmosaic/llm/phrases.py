@@ -29,7 +29,7 @@ from .common import LOWER, UPPER, cut, drop_cut
 TABLE = bytes(46 if chr(i) in ".,;:!?\n\x0b\x0c\r" else 32 if i == 9 else ord(LOWER[UPPER.index(chr(i))]) if chr(i) in UPPER else i for i in range(256))
 STOP = b"."
 #: Words and different words that a task holds before it counts fragments; rows of a batch.
-WORDS, DISTINCT, ROWS = 1 << 22, 1 << 20, 1 << 16
+WORDS, DISTINCT, ROWS = 1 << 21, 1 << 19, 1 << 15
 #: Bits of the bitmap and of the table of counts; a pivot is hot above this share of all words; tasks of a hot pivot.
 BITS, ORDER, HOT, SALTS = 25, 16, 1000, 256
 
