@@ -60,8 +60,8 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, keep: list[
 
 
 def markers(blocks: DataFrame) -> DataFrame:
-    """Blocks (doc_id, page_no, idx, block_id) with their counter in the document and the marker pNbM."""
-    n = F.row_number().over(W.partitionBy("doc_id").orderBy("page_no", "idx"))
+    """Blocks (doc_id, page_no, idx, block_id) with their counter in the document and the marker pNbM; blocks of one place go by id."""
+    n = F.row_number().over(W.partitionBy("doc_id").orderBy("page_no", "idx", "block_id"))
     return blocks.withColumn("counter", n).withColumn("marker", F.concat(F.lit("p"), F.col("page_no"), F.lit("b"), F.col("counter")))
 
 
@@ -77,19 +77,6 @@ def blocks_of(rows: DataFrame, labels: list[str]) -> DataFrame:
     return rows.where(F.col("label").isin(labels)).select("doc_id", F.explode("block_ids").alias("block_id")).distinct()
 
 
-def value_net(blocks: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Blocks that hold a confidential token of their document as a substring. Joined on the document; tokens: doc_id, token."""
-    t = tokens.where("token <> ''").distinct()
-    return blocks.join(t, (blocks["doc_id"] == t["doc_id"]) & F.contains(blocks["text"], t["token"]), "left_semi")
-
-
-def displaced_match(text: str, numbers: str, displaced: str, displaced_numbers: str):
-    """Texts of which one holds the other, or that hold the same set of numbers (not none)."""
-    a, b = norm(F.col(text)), norm(F.col(displaced))
-    x, y = F.array_sort(F.array_distinct(F.col(numbers))), F.array_sort(F.array_distinct(F.col(displaced_numbers)))
-    return ((b != "") & (F.contains(a, b) | ((a != "") & F.contains(b, a)))) | ((F.size(x) > 0) & (x == y))
-
-
 def term_usage(texts: DataFrame, terms: DataFrame, hub_fraction: float = 0.3, min_len: int = 3) -> DataFrame:
     """(text_id, term_id, term) where a term stands word-bounded in a text; terms in too many texts are dropped.
 
@@ -143,13 +130,6 @@ def assets_without(assets: DataFrame, confidential: DataFrame) -> DataFrame:
     return assets.join(confidential, ["doc_id", "page_no"], "left_anti")
 
 
-def verified_swaps(raw: DataFrame, verified: DataFrame) -> DataFrame:
-    """Raw citation id to the verified one of the same document with the longest value that its snippet holds."""
-    v = verified.select(F.col("doc_id").alias("v_doc"), "vid", F.col("value").alias("v_value")).where(F.length("v_value") >= 3)
-    j = raw.select(F.col("id").alias("raw_id"), "doc_id", "snippet").join(v, (F.col("doc_id") == F.col("v_doc")) & F.contains(F.lower("snippet"), F.lower("v_value")))
-    return j.groupBy("raw_id").agg(F.max_by("vid", F.struct(F.length("v_value"), "vid")).alias("verified_id"))
-
-
 def overlaid(records: DataFrame, overlay: DataFrame, keys: list[str]) -> DataFrame:
     """Records with the reviewers' value in place of the machine's, the displaced value, and trust."""
     o = overlay.select(*keys, F.col("value").alias("o_value"), F.col("verified").alias("o_verified"), F.col("disputed").alias("o_disputed"))

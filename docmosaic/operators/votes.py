@@ -83,13 +83,13 @@ def rate_allowed(calls: DataFrame, key: str, at: str, limit: int, window: float)
     import pandas as pd
 
     def run(batches):
-        now, kept = None, deque()
+        now, kept, span = None, deque(), round(window * 1e6)
         for b in batches:
             flags = []
             for k, t in zip(b["__key"], b["__at"], strict=True):
                 if k != now:
                     now, kept = k, deque()
-                while kept and kept[0] <= t - window:
+                while kept and t - kept[0] > span:
                     kept.popleft()
                 ok = len(kept) < limit
                 if ok:
@@ -97,7 +97,7 @@ def rate_allowed(calls: DataFrame, key: str, at: str, limit: int, window: float)
                 flags.append(ok)
             yield b.drop(columns=["__key", "__at"]).assign(allowed=pd.Series(flags, index=b.index, dtype=bool))
 
-    extra = calls.withColumn("__key", F.col(key).cast("string")).withColumn("__at", F.unix_micros(F.col(at).cast("timestamp")) / 1e6)
+    extra = calls.withColumn("__key", F.col(key).cast("string")).withColumn("__at", F.unix_micros(F.col(at).cast("timestamp")))
     rows = extra.repartition("__key").sortWithinPartitions("__key", "__at", *calls.columns)
     return rows.mapInPandas(run, calls.withColumn("allowed", F.lit(True)).schema)
 

@@ -13,6 +13,8 @@ from ..operators import aggregates as A
 from ..operators import currency as C
 from ..operators import joins as J
 from ..operators import layout as L
+from ..operators import matching as M
+from ..operators import ordered as O
 from ..operators import predicates as P
 from ..operators import ranking as R
 from ..operators import votes as V
@@ -198,7 +200,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents")
     a = x.select(F.lit(1).alias("list"), "doc_id", F.round(T.keyword_score(QUERY_WORDS, T.tokens(F.col("text"))), 6).alias("s")).where("s > 0")
     b = x.where("lang = 'en'").select(F.lit(2).alias("list"), "doc_id", F.col("n_chars").cast("double").alias("s"))
-    return R.fuse(a.unionByName(b), "list", "doc_id", "s").select("doc_id", F.round("rrf", 6).alias("rrf"))
+    return O.fused(a.unionByName(b), "list", "doc_id", "s").select("doc_id", F.round("rrf", 6).alias("rrf"))
 
 
 @query("SELECT user_id, event_id, round(value, 4) AS score FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC) = 1")
@@ -229,7 +231,7 @@ def value_net(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     blocks = c.select(F.col("conv_id").alias("doc_id"), "turn", F.lower("text").alias("text"))
     toks = c.where("turn = 1").select(F.col("conv_id").alias("doc_id"), F.lower(F.regexp_extract("text", "[A-Za-z]{6,}", 0)).alias("token"))
-    return J.value_net(blocks, toks).select(F.col("doc_id").alias("conv_id"), "turn")
+    return M.value_net(blocks, toks).select(F.col("doc_id").alias("conv_id"), "turn")
 
 
 @query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_linenumber) AS n FROM lineitem)

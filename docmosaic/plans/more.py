@@ -12,6 +12,7 @@ from ..operators import citations as Ci
 from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import layout as L
+from ..operators import matching as Mt
 from ..operators import metrics as M
 from ..operators import predicates as P
 from ..operators import ranking as R
@@ -53,14 +54,13 @@ def numbered_references(spark: SparkSession, d: str) -> DataFrame:
     return J.section_references(t, s).select(F.col("text_id").alias("doc_id"), "section_id")
 
 
-@query(f"""SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains({NORM_SQL.format('d.text')}, {NORM_SQL.format('b.text')})""")
+@query(f"""WITH d AS (SELECT doc_id, {NORM_SQL.format('text')} AS x FROM documents), b AS (SELECT item_id, {NORM_SQL.format('text')} AS y FROM benchmark)
+SELECT DISTINCT doc_id, item_id FROM d JOIN b ON (y <> '' AND contains(x, y)) OR (x <> '' AND y <> '' AND contains(y, x))""")
 def displaced_match(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark").select("item_id", T.norm(F.col("text")).alias("needle")).withColumn("word", F.regexp_extract("needle", r"^\S+", 0))
-    x = table(spark, d, "documents").select("doc_id", T.norm(F.col("text")).alias("hay"))
-    # Substring containment by an equi-join: a needle's second word stands whole in every text that holds it.
-    b = b.withColumn("word", F.element_at(F.split("needle", " "), 2))
-    w = x.select("doc_id", "hay", F.explode(F.array_distinct(F.split("hay", " "))).alias("word"))
-    return w.join(F.broadcast(b), "word").where(F.contains("hay", F.col("needle"))).select("doc_id", "item_id")
+    none = [F.array().cast("array<double>").alias("numbers"), F.lit(0).alias("doc_id")]
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", *none)
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("displaced_id"), "text", *none)
+    return Mt.displaced_pairs(x, b).select(F.col("id").alias("doc_id"), F.col("displaced_id").alias("item_id"))
 
 
 @query("""SELECT c_custkey AS doc_id, c_name AS title, n_name AS agreement, p.parties FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey

@@ -11,6 +11,7 @@ from ..operators import citations as X
 from ..operators import currency as C
 from ..operators import joins as J
 from ..operators import layout as L
+from ..operators import matching as M
 from ..operators import predicates as P
 from ..operators import records as R
 from ..operators import votes as V
@@ -209,7 +210,7 @@ def confidential_block_ids(spark: SparkSession, d: str) -> DataFrame:
 def swapped_citations(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), F.col("n_name").alias("value"), F.col("n_nationkey").cast("long").alias("vid"))
     raw = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("doc_id")).join(n.select("doc_id", F.concat(F.lit("in "), "value").alias("snippet")), "doc_id")
-    return J.verified_swaps(raw, n.unionByName(n.select("doc_id", F.substring("value", 1, 4).alias("value"), (F.col("vid") + 100).alias("vid"))))
+    return M.verified_swaps(raw, n.unionByName(n.select("doc_id", F.substring("value", 1, 4).alias("value"), (F.col("vid") + 100).alias("vid"))))
 
 
 @query("SELECT lower(p_brand) AS value, min(p_partkey) AS id FROM part WHERE length(p_brand) >= 3 GROUP BY 1")

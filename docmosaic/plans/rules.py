@@ -32,7 +32,7 @@ def enriched_evidence(spark: SparkSession, d: str) -> DataFrame:
     return J.enrich(ev, se, fa).select("id", "section", "fact")
 
 
-@query("SELECT l_orderkey AS doc_id, l_suppkey AS block_id, 'p' || l_linenumber || 'b' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS marker FROM lineitem")
+@query("SELECT l_orderkey AS doc_id, l_suppkey AS block_id, 'p' || l_linenumber || 'b' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS marker FROM lineitem")
 def evidence_markers(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_no"), F.col("l_partkey").alias("idx"), F.col("l_suppkey").alias("block_id"))
     return J.markers(b).select("doc_id", "block_id", "marker")

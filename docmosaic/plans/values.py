@@ -13,6 +13,7 @@ from ..operators import currency as Cu
 from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import layout as L
+from ..operators import matching as Mt
 from ..operators import metrics as M
 from ..operators import predicates as P
 from ..operators import votes as V
@@ -57,9 +58,10 @@ def restricted_block_ids(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT a.o_orderkey AS id, arg_min(b.o_orderstatus, b.o_orderkey) AS corrected_to FROM orders a LEFT JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND b.o_totalprice > 150000 GROUP BY 1")
 def corrected_citations(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    c = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("snippet"))
-    f = o.where("o_totalprice > 150000").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("full_key"), F.col("o_orderpriority").alias("displaced"), F.col("o_orderstatus").alias("value"))
-    return C.stamped_corrections(c, f, F.contains("snippet", "displaced")).select("id", "corrected_to")
+    none = F.array().cast("array<double>").alias("numbers")
+    c = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("text"), none)
+    f = o.where("o_totalprice > 150000").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("displaced_id"), F.col("o_orderpriority").alias("text"), none, F.col("o_orderstatus").alias("value"))
+    return Mt.stamped(c, f, "displaced_id").select("id", "corrected_to")
 
 
 WORDS_SQL = "list_distinct(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x <> ''))"

@@ -1,15 +1,24 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Cutting lineage, and the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only in local mode, where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="docmosaic-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and written to spark.checkpoint.dir; a temporary folder only where the session names none."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docmosaic-"))
+    """df, computed and written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
