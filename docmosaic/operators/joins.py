@@ -77,22 +77,6 @@ def blocks_of(rows: DataFrame, labels: list[str]) -> DataFrame:
     return rows.where(F.col("label").isin(labels)).select("doc_id", F.explode("block_ids").alias("block_id")).distinct()
 
 
-def term_usage(texts: DataFrame, terms: DataFrame, hub_fraction: float = 0.3, min_len: int = 3) -> DataFrame:
-    """(text_id, term_id, term) where a term stands word-bounded in a text; terms in too many texts are dropped.
-
-    texts: text_id, body; terms: term_id, term. Joined on the term's first word, then verified, so no text meets all terms.
-    """
-    t = terms.select("term_id", norm(F.col("term")).alias("term")).where(F.length("term") >= min_len).withColumn("word", F.regexp_extract("term", r"[a-z0-9]+", 0)).where("word <> ''")
-    x = texts.select("text_id", norm(F.col("body")).alias("body"))
-    n = texts.select("text_id").distinct().agg(F.count("*").alias("n_texts"))
-    w = x.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
-    met = w.join(t, "word").where(F.col("text_id").cast("string") != F.col("term_id").cast("string")).select("text_id", "term_id", "term")
-    # Bodies don't travel with their words; they are fetched for the texts that hold a term's first word.
-    hit = met.join(x, "text_id").where(F.expr(r"body rlike concat('(?<!\\w)\\Q', term, '\\E(?!\\w)')")).select("text_id", "term_id", "term").distinct()
-    hubs = hit.groupBy("term").agg(F.count("*").alias("hits")).join(F.broadcast(n)).where(F.col("hits") > F.greatest(F.lit(1.0), hub_fraction * F.col("n_texts"))).select("term")
-    return hit.join(hubs, "term", "left_anti").select("text_id", "term_id", "term")
-
-
 def schedule_references(texts: DataFrame, schedules: DataFrame) -> DataFrame:
     """(text_id, schedule_id) where a text names a schedule's label, word-bounded. Joined on kind and number."""
     label = r"(?i)\b(schedule|figure|appendix|annex|exhibit)\s+([a-z0-9]+)"
@@ -148,16 +132,6 @@ def guessed_fields(facts: DataFrame, fields: DataFrame) -> DataFrame:
     return n.groupBy("id").agg(F.min_by("field", F.struct((-F.col("common")).alias("c"), "field")).alias("field"))
 
 
-def layer_conflicts(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of one clause in two layers (same document and page, one text in the other or half of their words alike) without a common value token. Columns: id, doc_id, page, body, toks."""
-    x, y = a.select(*(F.col(c).alias(f"a_{c}") for c in a.columns)), b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
-    j = x.join(y, (F.col("a_doc_id") == F.col("b_doc_id")) & (F.col("a_page") == F.col("b_page")))
-    p, q = norm(F.col("a_body")), norm(F.col("b_body"))
-    u, v = F.array_distinct(F.regexp_extract_all(p, F.lit(TOKEN), F.lit(0))), F.array_distinct(F.regexp_extract_all(q, F.lit(TOKEN), F.lit(0)))
-    same = F.contains(p, q) | F.contains(q, p) | (F.size(F.array_intersect(u, v)) * 2 >= F.size(F.array_union(u, v)))
-    return j.where(same & (F.size("a_toks") > 0) & (F.size("b_toks") > 0) & ~F.arrays_overlap("a_toks", "b_toks")).select("a_id", "b_id")
-
-
 def best_line_per_row(rows: DataFrame, lines: DataFrame, least: float = 0.6) -> DataFrame:
     """Per repaired table row (block, row, toks) the OCR line (block, line, toks) that covers most of its tokens."""
     a = rows.select("block", "row", F.size("toks").alias("n"), F.explode(F.array_distinct("toks")).alias("t"))

@@ -145,17 +145,36 @@ def letters(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", "")
 
 
-def pairs_of(x: Column) -> Column:
-    """All neighbouring pairs of characters of a text."""
-    return F.when(F.length(x) >= 2, F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+def runs_kept(a: str, b: str) -> int:
+    """Letters of a in runs of two and more that b has too, in order: the longest common run (the first of several), then the same left and right of it."""
+    kept, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        size, at, to, ends = 0, 0, 0, {}
+        places: dict[str, list[int]] = {}
+        for j in range(b0, b1):
+            places.setdefault(b[j], []).append(j)
+        for i in range(a0, a1):
+            now = {}
+            for j in places.get(a[i], ()):
+                n = now[j] = ends.get(j - 1, 0) + 1
+                if n > size:
+                    size, at, to = n, i - n + 1, j - n + 1
+            ends = now
+        if size > 1:
+            kept += size
+            todo += [(a0, at, b0, to), (at + size, a1, to + size, b1)]
+    return kept
 
 
 def content_preserved(raw: Column, proposed: Column) -> Column:
-    """share of the raw letters and digits that belong to a pair of neighbours which the proposal has too; 1 for none."""
-    x, known = letters(raw), pairs_of(letters(proposed))
-    stays = F.transform(pairs_of(x), lambda g: F.array_contains(known, g))
-    kept = F.zip_with(F.concat(stays, F.array(F.lit(False))), F.concat(F.array(F.lit(False)), stays), lambda after, before: (after | before).cast("int"))
-    return F.when(F.length(x) == 0, F.lit(1.0)).otherwise(F.aggregate(kept, F.lit(0), lambda a, k: a + k) / F.length(x))
+    """share of the raw letters and digits that stay as runs of two and more in the proposal, in order; 1 for none."""
+
+    @F.pandas_udf("double")
+    def share(p: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series([runs_kept(x, y) / len(x) if x else 1.0 for x, y in zip(p, q, strict=True)], dtype=float)
+
+    return share(letters(raw), letters(proposed))
 
 
 def near_duplicate(a: Column, b: Column, least: float = 0.85) -> Column:

@@ -15,6 +15,7 @@ from ..operators import joins as J
 from ..operators import layout as L
 from ..operators import matching as M
 from ..operators import ordered as O
+from ..operators import postings as Po
 from ..operators import predicates as P
 from ..operators import ranking as R
 from ..operators import votes as V
@@ -277,7 +278,7 @@ SELECT h.term, doc_id FROM h JOIN n USING (term), c WHERE hits <= greatest(1, 0.
 def term_usage_hub_suppressed(spark: SparkSession, d: str) -> DataFrame:
     terms = table(spark, d, "benchmark").select(F.lower(F.regexp_extract("text", "[A-Za-z]{5,}", 0)).alias("term")).distinct().select(F.concat(F.lit("t:"), F.col("term")).alias("term_id"), "term")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ").alias("body"))
-    return J.term_usage(docs, terms).select("term", F.col("text_id").alias("doc_id"))
+    return Po.term_usage(docs, terms).select("term", F.col("text_id").alias("doc_id"))
 
 
 POINTERS = "CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 9 THEN o_orderkey - 3 ELSE o_orderkey + 1 END"

@@ -120,10 +120,19 @@ def field_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     return M.effective_sensitivity(f, over, p.where("p_size = 1").select(F.col("p_brand").alias("category"), F.lit("internal").alias("sensitivity")).distinct()).select("full_key", "sensitivity")
 
 
-@query("SELECT 'evidence' AS kind, p_partkey AS id FROM part WHERE contains(lower(p_name), 'en') UNION ALL SELECT 'block', c_custkey FROM customer WHERE contains(lower(c_name), 'en') UNION ALL SELECT 'mention', n_nationkey FROM nation WHERE contains(lower(n_name), 'en')")
+@query("SELECT 'evidence' AS kind, p_partkey AS id FROM part WHERE contains(lower(p_name), 'ri') UNION ALL SELECT 'block', c_custkey FROM customer WHERE contains(lower(c_mktsegment), 'ri') UNION ALL SELECT 'mention', r_regionkey FROM region WHERE contains(lower(r_name), 'ri')")
 def grep_three_tables(spark: SparkSession, d: str) -> DataFrame:
     part = lambda t, i, x: table(spark, d, t).select(F.col(i).cast("long").alias("id"), F.lit(1).alias("doc_id"), F.col(x).alias("text"))
-    return M.grep(part("part", "p_partkey", "p_name"), part("customer", "c_custkey", "c_name"), part("nation", "n_nationkey", "n_name"), "EN").select("kind", "id")
+    return M.grep(part("part", "p_partkey", "p_name"), part("customer", "c_custkey", "c_mktsegment"), part("region", "r_regionkey", "r_name"), "RI").select("kind", "id")
+
+
+@query(r"""WITH t AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'PART  ' || p_size || '.' || p_partkey % 7 || ': ' || p_name WHEN 1 THEN 'Annex ' || p_size || 'B ' || p_name WHEN 2 THEN p_size || '.3 ' || p_name WHEN 3 THEN p_size || ' ' || p_name ELSE 'Partial ' || p_size END AS x FROM part)
+SELECT id, CASE id % 5 WHEN 0 THEN 'part' WHEN 1 THEN 'annex' WHEN 2 THEN 'numbered' END AS kind, CASE id % 5 WHEN 0 THEN regexp_extract(x, '[0-9]+\.[0-9]+') WHEN 1 THEN regexp_extract(x, '[0-9]+B') WHEN 2 THEN regexp_extract(x, '[0-9]+\.3') END AS number, CASE WHEN id % 5 < 3 THEN regexp_extract(x, '([a-z]+ [a-z]+)$', 1) END AS title FROM t""")
+def headings(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    x = F.when(k % 5 == 0, F.concat(F.lit("PART  "), "p_size", F.lit("."), k % 7, F.lit(": "), "p_name")).when(k % 5 == 1, F.concat(F.lit("Annex "), "p_size", F.lit("B "), "p_name")).when(k % 5 == 2, F.concat("p_size", F.lit(".3 "), "p_name")).when(k % 5 == 3, F.concat("p_size", F.lit(" "), "p_name")).otherwise(F.concat(F.lit("Partial "), "p_size"))
+    h = T.heading(x, {"part": ("part", False), "annex": ("annex", True), "": ("numbered", False)})
+    return table(spark, d, "part").select(k.alias("id"), h["kind"].alias("kind"), h["number"].alias("number"), h["title"].alias("title"))
 
 
 @query(f"SELECT doc_id, (n_chars % 90) || ':' || lower(left({NORM_SQL.format('text')}, 80)) AS key FROM documents")

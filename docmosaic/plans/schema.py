@@ -115,7 +115,7 @@ def tool(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return f
 
 
-def call(name: str, **args) -> DataFrame:
+def call(name: str, /, **args) -> DataFrame:
     """Run a tool; unknown names and arguments raise."""
     if name not in TOOLS:
         raise KeyError(f"no tool named {name}")

@@ -129,7 +129,7 @@ LINES_SQL = "SELECT o_orderkey, 'No ' || o_orderkey || ' x' AS raw, CASE WHEN o_
 
 @query(f"""WITH l AS ({LINES_SQL}), m AS (SELECT *, regexp_replace(lower(raw), '[^a-z0-9]+', '', 'g') AS a, regexp_replace(lower(proposed), '[^a-z0-9]+', '', 'g') AS b FROM l),
 k AS (SELECT *, len(raw) = len(proposed) AND raw <> proposed AND len(list_filter(range(1, len(raw) + 1), lambda i: substr(raw, i, 1) <> substr(proposed, i, 1) AND NOT regexp_matches(substr(raw, i, 1) || substr(proposed, i, 1), '^[0-9]{{2}}$'))) = 0 AS swapped,
-len(list_filter(range(1, len(a) + 1), lambda i: (i < len(a) AND contains(b, substr(a, i, 2))) OR (i > 1 AND contains(b, substr(a, i - 1, 2))))) / len(a) AS kept FROM m)
+coalesce(nullif(list_max(list_filter(range(0, len(a) + 1), lambda i: left(a, i) = left(b, i))), 1), 0) / len(a) AS kept FROM m)
 SELECT o_orderkey, swapped, kept, (score >= 0.90 AND swapped) OR (len(a) >= 5 AND kept < 0.5) AS rejected FROM k""")
 def judged_line_corrections(spark: SparkSession, d: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")

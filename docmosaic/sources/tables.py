@@ -58,8 +58,10 @@ def file_sources(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFra
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """SK1: old rows with those of new in place of the ones with equal keys; of repeated new ones any one."""
-    return old.join(new, keys, "left_anti").unionByName(new.dropDuplicates(keys), allowMissingColumns=True)
+    """SK1: old rows with those of new in place of the ones with equal keys; of repeated new ones the one of the largest values."""
+    rest = [c for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__r")).select(*keys, "__r.*") if rest else new.distinct()
+    return old.join(one, keys, "left_anti").unionByName(one.select(*new.columns), allowMissingColumns=True)
 
 
 def patched(old: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,11 +99,6 @@ def family_sheets(fields: DataFrame) -> DataFrame:
     return g.agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("is_current"), F.col("value")))), " | ").alias("current"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_current"), F.struct("best_date", "value")))), lambda x: F.concat_ws(": ", x["best_date"], x["value"])), " | ").alias("history"))
 
 
-def write_scorecard(rows: DataFrame, path: str) -> None:
-    """SK10: JSON lines."""
-    rows.write.mode("overwrite").json(path)
-
-
 def kept_vectors(new: DataFrame, old: DataFrame, key: str, text_hash: str, vector: str) -> DataFrame:
     """SK13: rows of a new load with the vector of the snapshot before, where the text is the same."""
     o = old.select(key, F.col(text_hash).alias("__h"), F.col(vector).alias("__v"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,25 +30,6 @@ def audit_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("at", late).groupBy(F.window("at", "1 day"), "kind", "action").agg(F.count("*").alias("n"))
 
 
-def rate_limited(calls: DataFrame, limit: int, window_s: float) -> DataFrame:
-    """ST4: calls (key, at) with allowed, by a state of at most limit times per key, which expires with the window."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        for b in batches:
-            b = b.sort_values("at", kind="stable")
-            flags = []
-            for t in b["at"].astype("int64") / (1e9 if str(b["at"].dtype).endswith("ns]") else 1e6):
-                kept = [k for k in kept if k > t - window_s]
-                flags.append(len(kept) < limit)
-                if flags[-1]:
-                    kept.append(float(t))
-            yield b.assign(allowed=flags)
-        state.update((kept,))
-
-    return calls.groupBy("key").applyInPandasWithState(run, "key string, at timestamp, allowed boolean", "times array<double>", "append", "NoTimeout")
-
-
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """ST5, ST6: activity sessions by idle gap; a session ends when the watermark passes it."""
     return events.withWatermark("at", late).groupBy(F.session_window("at", gap), "actor").agg(F.count("*").alias("n"))

@@ -45,7 +45,7 @@ def test_text(spark):
     assert one(spark, T.digit_swapped(F.col("a"), F.col("b")), a="fee 15", b="fee 16") and not one(spark, T.digit_swapped(F.col("a"), F.col("b")), a="fee 15", b="fxe 16")
     assert one(spark, T.truncated(F.col("s"), 5), s="abcdefgh") == "abcd…"
     assert one(spark, T.cited_ids(F.col("s")), s="x [ev:a:1] y [ev:b]") == ["a:1", "b"]
-    assert one(spark, T.heading(F.col("s")), s="9.3 Payment terms").asDict() == {"kind": "numbered_subsection", "number": "9.3", "title": "Payment terms"}
+    assert one(spark, T.heading(F.col("s"), {"": ("numbered_subsection", False)}), s="9.3 Payment terms").asDict() == {"kind": "numbered_subsection", "number": "9.3", "title": "Payment terms"}
     assert one(spark, T.slug(F.col("s")), s=" My Field! ") == "my_field"
     assert one(spark, T.absence_claim(F.col("s")), s="It is not stated here.")
 

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from docmosaic.operators import postings
 from docmosaic.operators import aggregates as A
 from docmosaic.operators import citations as Ci
 from docmosaic.operators import currency as C
@@ -87,7 +88,7 @@ def test_references(spark):
     t = df(spark, "text_id long, body string", (1, "see Section 9.3 and Schedule 1B"), (2, "clause 8, schedule 1"), (3, "fee schedule"))
     assert rows(J.section_references(t, df(spark, "section_id string, section_num string, ord int", ("s1", "9.3 Payment", 1), ("s2", "8", 2), ("s3", "8 again", 3)))) == [(1, "s1"), (2, "s2")]
     assert rows(J.schedule_references(t, df(spark, "schedule_id string, label string", ("x", "Schedule 1B"), ("y", "1")))) == [(1, "x"), (2, "y")]
-    u = J.term_usage(t, df(spark, "term_id string, term string", ("t1", "fee"), ("t2", "schedule"), ("t3", "see section")), 0.5)
+    u = postings.term_usage(t, df(spark, "term_id string, term string", ("t1", "fee"), ("t2", "schedule"), ("t3", "see section")), 0.5)
     assert rows(u) == [(1, "t3", "see section"), (3, "t1", "fee")]
 
 

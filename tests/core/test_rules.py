@@ -1,3 +1,6 @@
+import random
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 
 from docmosaic.functions import text as T
@@ -29,11 +32,22 @@ def test_missed_lines_near_a_neighbour_are_dropped(spark):
 
 
 def test_content_preserved(spark):
-    rows = [("abcdef", "abcdef", 1.0), ("abcdef", "xx", 0.0), ("abcd", "ab zz", 0.5), ("", "x", 1.0), (None, None, 1.0), ("Ab-12", "ab 12", 1.0)]
+    rows = [("abcdef", "abcdef", 1.0), ("abcdef", "xx", 0.0), ("abcd", "ab zz", 0.5), ("abcd", "cdab", 0.5), ("", "x", 1.0), (None, None, 1.0), ("Ab-12", "ab 12", 1.0)]
     got = spark.createDataFrame([r[:2] for r in rows], "a string, b string").select(L.content_preserved(F.col("a"), F.col("b")).alias("r")).collect()
     assert [r.r for r in got] == [r[2] for r in rows]
 
 
+def test_content_preserved_on_random_lines(spark):
+    rng = random.Random(4)
+    rows = [tuple("".join(rng.choice("abAB1 -é") for _ in range(rng.randint(0, 30))) for _ in "xy") for _ in range(300)]
+    # What the blocks of two and more letters that both lines have in order add up to.
+    plain = lambda s: "".join(c.lower() for c in s if c.isalnum())
+    blocks = lambda a, b: sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size >= 2)
+    want = [blocks(plain(a), plain(b)) / len(plain(a)) if plain(a) else 1.0 for a, b in rows]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string").select("i", L.content_preserved(F.col("a"), F.col("b")).alias("r")).orderBy("i").collect()
+    assert [r.r for r in got] == want
+
+
 def test_tokens_meet_words():
     w = WordIndex(["holdings", "alpha", "2020"])
     assert [w.meets(t) for t in ("alpha", "holding", "alphabet", "holdngs", "2020", "2021", "alp", "gamma")] == [True, True, True, True, True, False, False, False]
@@ -41,7 +55,8 @@ def test_tokens_meet_words():
 
 def test_headings(spark):
     texts = ["Section 3.2: Payment", "ARTICLE 4 Term", "5.1 Fees", "schedule 2A. Rates", "Appendix 1 Map", "plain words"]
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.heading(F.col("t")).alias("h")).collect()
+    grammar = {"section": ("numbered_section", False), "article": ("article", False), "": ("numbered_subsection", False), "schedule": ("schedule", True), "appendix": ("appendix", True)}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.heading(F.col("t"), grammar).alias("h")).collect()
     assert [tuple(r.h) if r.h else None for r in got] == [("numbered_section", "3.2", "Payment"), ("article", "4", "Term"), ("numbered_subsection", "5.1", "Fees"), ("schedule", "2A", "Rates"), ("appendix", "1", "Map"), None]
 
 

@@ -15,11 +15,27 @@ def test_stream_of_votes_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_stream_rate_limit(spark, tmp_path):
-    c = spark.sql("select 'k' key, timestamp_seconds(s) at from values (0),(1),(2),(9),(11),(12) t(s)")
-    c.coalesce(1).write.parquet(str(tmp_path / "k"))
-    got = logs.drain(logs.rate_limited(logs.log_stream(spark, str(tmp_path / "k"), "key string, at timestamp"), 2, 10.0), "limited", "append", str(tmp_path / "kc"))
-    assert [r.allowed for r in got.orderBy("at").collect()] == [True, True, False, False, True, True]
+def stamps(spark, df, path, end):
+    """df as files, and a last file far ahead, which closes everything before."""
+    df.coalesce(1).write.mode("append").parquet(path)
+    df.limit(1).withColumn("at", F.lit(end).cast("timestamp")).write.mode("append").parquet(path)
+
+
+def test_usage_audit_and_sessions(spark, tmp_path):
+    u = spark.sql("select timestamp_seconds(600 * id) at, concat('u', id % 2) email, 'chat' kind, id prompt_tokens, 1L completion_tokens, 1L calls from range(40)")
+    stamps(spark, u, str(tmp_path / "u"), "2030-01-01")
+    for n in (1, 2):  # the second run only moves the watermark on
+        got = logs.drain(logs.usage_by_hour(logs.log_stream(spark, str(tmp_path / "u"), logs.USAGE, 1)), f"usage{n}", "append", str(tmp_path / f"uc{n}"))
+    want = u.groupBy(F.window("at", "1 hour").alias("window"), "email").agg(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), F.count("*").alias("calls"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    e = spark.sql("select timestamp_seconds(7200 * id) at, concat('a', id % 3) actor, 'kb' kind, if(id % 4 = 0, 'edit', 'read') action, 't' target, '' detail from range(40)")
+    stamps(spark, e, str(tmp_path / "e"), "2030-01-01")
+    got = logs.drain(logs.audit_counts(logs.log_stream(spark, str(tmp_path / "e"), logs.EVENTS, 1)), "audit", "append", str(tmp_path / "ec"))
+    want = e.groupBy(F.window("at", "1 day").alias("window"), "kind", "action").agg(F.count("*").alias("n"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    got = logs.drain(logs.sessions(logs.log_stream(spark, str(tmp_path / "e"), logs.EVENTS, 1), "7 hours", "1 hour"), "sessions", "append", str(tmp_path / "sc"))
+    want = e.groupBy(F.session_window("at", "7 hours").alias("session_window"), "actor").agg(F.count("*").alias("n"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 3
 
 
 def test_json_files_are_quarantined(spark, tmp_path):
