@@ -1,6 +1,6 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-A token's score is its log-odds between toxic and clean training texts under hierarchical Dirichlet priors: the prior mean of a
+Tokens are the lower-cased words between white space and ASCII punctuation. A token's score is its log-odds between toxic and clean training texts under hierarchical Dirichlet priors: the prior mean of a
 token is what its first PREFIX letters score, and that of these letters is even odds, so that new forms of known stems count too
 and rare tokens stay near their prior. A linear scan finds every maximal segment of positive sum. A text's statistic adds up, over the segments
 that are significant on their own, what lambda times their sum exceeds ln(K n) - ln(-ln(1 - RISK)) by (extreme-value theory of maximal segments: lambda
@@ -27,11 +27,17 @@ from pyspark.sql import types as T
 from .common import cut, drop_cut, fold
 from .nbsvm import platt, training_rows
 
-PREFIX, DRIFT, RISK, TOP = 4, 0.1, 0.002, 4.0
+PREFIX, DRIFT, RISK, TOP = 5, 0.1, 0.01, 4.0
+#: ASCII punctuation and control characters become spaces.
+PLAIN = bytes(32 if i < 127 and not chr(i).isalnum() else i for i in range(256))
 #: Scores of clean tokens are counted in steps of so many nats.
 STEP = 1e-4
 
 
+def tokens_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().translate(PLAIN).split()
+
+
 def stem(word: bytes) -> bytes:
     """The first PREFIX characters of a word; a byte of UTF-8 that goes on a character doesn't count."""
     return word.decode("utf-8", "replace")[:PREFIX].encode() if word[:PREFIX].isascii() is False else word[:PREFIX]
@@ -137,7 +143,7 @@ def text_counts(rows: DataFrame) -> dict[int, tuple]:
         for b in batches:
             y, half, kind, token = [], [], [], []
             for c, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                found = set((t.as_py() or b"").lower().split())
+                found = set(tokens_of(t.as_py()))
                 for k, some in enumerate((found, {stem(w) for w in found})):
                     token.extend(some)
                     y += [c] * len(some)
@@ -173,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
         for b in batches:
             y, n, sums, steps, times = [], [], [], [], []
             for c, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                a = other.value[h].of((t.as_py() or b"").lower().split())
+                a = other.value[h].of(tokens_of(t.as_py()))
                 step, k = np.unique(np.round(a / STEP).astype(np.int32), return_counts=True)
                 y.append(c)
                 n.append(len(a))
@@ -212,7 +218,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", thr
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            found = [model.passages((t.as_py() or b"").lower().split()) for t in b.column(1)]
+            found = [model.passages(tokens_of(t.as_py())) for t in b.column(1)]
             out = pa.array([model.score(model.statistic(f)) for f in found], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), out, pa.array([[{"first": i, "end": j, "excess": e} for i, j, e in f] for f in found], kind)], schema.names)
 
