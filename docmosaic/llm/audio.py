@@ -71,6 +71,22 @@ def expand_adpcm(data: bytes, block: int = 256) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.int16)
 
 
+def expand_blocks(files: list[bytes], block: int, most: int = 1 << 16) -> Iterator[np.ndarray]:
+    """expand_adpcm of each of several files of whole blocks; the blocks of many files decode side by side, about ``most`` at a time."""
+    at = 0
+    while at < len(files):
+        end, n = at, 0
+        while end < len(files) and (end == at or n + len(files[end]) // block <= most):
+            n += len(files[end]) // block
+            end += 1
+        pcm, start = expand_adpcm(b"".join(files[at:end]), block), 0
+        for f in files[at:end]:
+            size = len(f) // block * (1 + 2 * (block - 4))
+            yield pcm[start : start + size]
+            start += size
+        at = end
+
+
 def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     """Linear interpolation on the exact time grid, in integers; the last sample is held."""
     if rate == to or not len(x):
@@ -153,26 +169,33 @@ def describe(pcm: np.ndarray) -> str:
     return f"n={len(x)};rms={math.isqrt(int((x * x).sum()) // n)};peak={int(np.abs(x).max(initial=0))};zc={int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))};crc={zlib.crc32(pcm.astype('<i2').tobytes())}"
 
 
+NAMES = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "alaw_feature": "string", "adpcm_feature": "string"}
+
+
 def media_digest(docs: DataFrame, fmt: int = MULAW) -> DataFrame:
     """One row per document: its text as a mu-law (or A-law) telephony file, read back and described.
 
-    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. The payload is the UTF-8 text
-    padded by zero bytes to a positive multiple of 64; a null text counts as an empty one. Equal texts give equal values.
+    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, alaw_feature, adpcm_feature. The
+    payload is the UTF-8 text padded by zero bytes to a positive multiple of 64; a null text counts as an empty one. Equal texts give
+    equal values. feature describes the resampled PCM of the stored file, the other two what the same bytes are as A-law samples and
+    as ADPCM blocks of 64 bytes.
     """
     kind = dict(docs.dtypes)["doc_id"]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows, stored = [], []
             for t in b.column(1):
                 raw = t.as_py() or b""
                 media = wav(raw + b"\0" * (-len(raw) % UNIT or (UNIT if not raw else 0)), fmt)
                 a = parse(media)
-                pcm = resample(samples(a), a.rate, OUT_RATE)
-                rows.append((len(raw), len(a.data), hashlib.sha256(a.data).hexdigest(), zlib.crc32(a.data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), describe(pcm)))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+                heard = [describe(resample(samples(x), x.rate, OUT_RATE)) for x in (a, a._replace(format=ALAW))]
+                rows.append((len(raw), len(a.data), hashlib.sha256(a.data).hexdigest(), zlib.crc32(a.data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), *heard))
+                stored.append(a.data)
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
+            cols.append([describe(resample(x, RATE, OUT_RATE)) for x in expand_blocks(stored, UNIT)])
+            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", *NAMES])
+
+    schema = f"doc_id {kind}, " + ", ".join(f"{n} {t}" for n, t in NAMES.items())
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(digest, schema)

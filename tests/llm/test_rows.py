@@ -206,10 +206,23 @@ def test_media_round_trip(spark):
         p = raw + b"\0" * (-len(raw) % 64) if raw else b"\0" * 64
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-        assert r.media_bytes == len(audio.wav(p)) and r.media_sha256 == hashlib.sha256(audio.wav(p)).hexdigest()
+        # The header by hand: RIFF, a fmt chunk of mu-law, mono, 8000 Hz, 8 bits, and the payload as it is.
+        fmt = (7).to_bytes(2, "little") + (1).to_bytes(2, "little") + (8000).to_bytes(4, "little") * 2 + (1).to_bytes(2, "little") + (8).to_bytes(2, "little")
+        media = b"RIFF" + (28 + 8 + len(p)).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + fmt + b"data" + len(p).to_bytes(4, "little") + p
+        assert r.media_bytes == len(media) and r.media_sha256 == hashlib.sha256(media).hexdigest()
+        for name, pcm in (("feature", audio.MU[list(p)]), ("alaw_feature", audio.A[list(p)]), ("adpcm_feature", audio.expand_adpcm(p, 64))):
+            assert r[name] == audio.describe(audio.resample(np.asarray(pcm), 8000, 16000))
     assert audio.media_digest(cases.none(spark)).collect() == []
 
 
+def test_blocks_of_many_files():
+    rng = random.Random(4)
+    files = [bytes(rng.randrange(256) for _ in range(64 * rng.choice([1, 1, 2, 9]))) for _ in range(30)]
+    for most in (1, 5, 1 << 16):
+        assert all((x == audio.expand_adpcm(f, 64)).all() for x, f in zip(audio.expand_blocks(files, 64, most), files, strict=True))
+    assert list(audio.expand_blocks([], 64)) == []
+
+
 def test_decoders(spark):
     assert audio.MU[0xFF] == 0 and audio.MU[0x80] == 32124 and audio.MU[0] == -32124 and audio.A[0xD5] == 8 and audio.A[0xAA] == 32256
     rng = random.Random(3)
