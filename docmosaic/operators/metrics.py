@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import field_status
 
+#: Names that a schema may have.
+MOST_FIELDS = 10_000
+
 
 def overview(docs: DataFrame, jobs: DataFrame, fields: DataFrame) -> DataFrame:
     """AG10, D12: documents with job state, field counts and one status."""
@@ -41,8 +44,16 @@ def set_difference(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def absent(schema: DataFrame, filled: DataFrame, empty: DataFrame, docs: DataFrame) -> DataFrame:
-    """Per document the schema's fields that are neither filled nor explicitly empty. Documents times fields, the schema being a bounded dimension."""
-    return docs.select("doc_id").join(F.broadcast(schema.select("full_key"))).join(filled.select("doc_id", "full_key").union(empty.select("doc_id", "full_key")), ["doc_id", "full_key"], "left_anti")
+    """Per document the schema's fields that are neither filled nor explicitly empty. The schema, a list of at most
+    MOST_FIELDS names, is an array that each document's own fields are taken from; a longer one raises.
+    """
+    names = [r[0] for r in schema.select("full_key").distinct().limit(MOST_FIELDS + 1).collect()]
+    if len(names) > MOST_FIELDS:
+        raise ValueError(f"a schema of more than {MOST_FIELDS} fields")
+    had = filled.select("doc_id", "full_key").union(empty.select("doc_id", "full_key")).groupBy("doc_id").agg(F.collect_set("full_key").alias("had"))
+    none = F.array().cast("array<string>")
+    left = F.array_except(F.array(*map(F.lit, sorted(names))).cast("array<string>"), F.coalesce("had", none))
+    return docs.select("doc_id").join(had, "doc_id", "left").select("doc_id", F.explode(left).alias("full_key"))
 
 
 def filled_keys(values: DataFrame) -> DataFrame:

@@ -434,7 +434,7 @@ def page_blocks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("n_paragraphs"))
 
 
-@query("SELECT conv_id, turn, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 40) AS head, len(string_split_regex(trim(text), '\\s+')) AS n FROM conversations WHERE length(trim(text)) >= 20 AND len(string_split_regex(trim(text), '\\s+')) >= 4 AND role NOT IN ('header', 'footer')")
+@query("SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS head, len(string_split_regex(trim(text), '\\s+')) AS n FROM conversations WHERE length(trim(text)) >= 20 AND len(string_split_regex(trim(text), '\\s+')) >= 4 AND role NOT IN ('header', 'footer')")
 def clean_blocks(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").where(S.embeddable(F.col("role"), F.col("text")))
-    return c.select("conv_id", "turn", F.substring(T.squeeze(F.col("text")), 1, 40).alias("head"), F.size(F.split(F.trim("text"), r"\s+")).cast("long").alias("n"))
+    return c.select("conv_id", "turn", T.squeeze(F.col("text")).alias("head"), F.size(F.split(F.trim("text"), r"\s+")).cast("long").alias("n"))
