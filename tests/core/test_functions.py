@@ -81,3 +81,9 @@ def test_domain():
     assert [f["full_key"] for f in d.fields] == ["fees.base_fees"] and d.fields[0]["sensitivity"] == "confidential"
     assert d.matchers()[0]["words"] == ["base", "fee"] and d.unit_pattern() == "(?i)(kwh|kw)"
     assert deep_merge({"a": {"b": 1}}, {"a": {"c": 2}}) == {"a": {"b": 1, "c": 2}}
+
+
+def test_all_character_references(spark):
+    cases = {"a &amp;lt; b &copy; &hearts; &#8364; &#x41; &notin; &amp &nosuch; &#0; &": "a &lt; b © ♥ € A ∉ &amp &nosuch; \ufffd &", "no reference": "no reference", None: "", "&lt;table&gt;": "<table>"}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.neutralize(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in got} == cases
