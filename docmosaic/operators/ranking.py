@@ -70,7 +70,8 @@ def top_per_group(df: DataFrame, by: list[str], order: list, n: int) -> DataFram
 def snippets(pages: DataFrame, c: str, query: str, key: list[str], around: int = 60, limit: int = 80) -> DataFrame:
     """Places of a substring with the text around; truncated tells whether there are more than limit."""
     t, q = F.lower(F.col(c)), query.lower()
-    parts = F.split(t, F.lit(r"\Q" + q + r"\E"))
+    # No text can give more than the first limit + 1 places, so that joining the parts before them stays small.
+    parts = F.slice(F.split(t, F.lit(r"\Q" + q + r"\E")), 1, limit + 2)
     ends = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.length(F.array_join(F.slice(parts, 1, i), q)) + 1)
     found = pages.where(F.contains(t, F.lit(q))).select(*key, F.col(c).alias("__t"), F.explode(ends).alias("at"))
     out = found.select(*key, "at", F.substring(F.col("__t"), F.greatest(F.lit(1), F.col("at") - around), F.lit(2 * around + len(q))).alias("snippet")).orderBy(*key, "at").limit(limit + 1)

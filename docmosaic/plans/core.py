@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import numbers as N
 from ..functions import shapes as S
@@ -98,8 +97,8 @@ def currency_refresh_diff(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_custkey AS family, o_orderkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
 def chain_order(spark: SparkSession, d: str) -> DataFrame:
-    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("family"), F.col("o_orderkey").alias("doc_id"), F.row_number().over(w).cast("long").alias("place"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("family"), F.col("o_orderkey").alias("doc_id"), "o_orderdate")
+    return O.ranked(o, ["family"], [F.col("o_orderdate").asc(), F.col("doc_id").asc()], "place").select("family", "doc_id", F.col("place").cast("long").alias("place"))
 
 
 @query("""SELECT o_custkey AS family, o_orderstatus AS role, arg_max(o_orderpriority, {'a': o_orderdate, 'b': o_orderkey}) AS key FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1, 2""")

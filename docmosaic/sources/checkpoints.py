@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and written to the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, computed once, as a Parquet table in the shared folder: what reads it survives lost executors and takes only the columns it needs."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/docmosaic/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
