@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm
+from ..sources.checkpoints import cut
 from .matching import pattern_hits
 
 WORD = r"\w+"
@@ -26,6 +27,15 @@ def words_at(df: DataFrame, text: str, *keep: str) -> DataFrame:
 def found_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(text_id, term) where a term stands word-bounded in a text. texts: text_id, body; terms: term; both in normal form."""
     t = terms.select("term").distinct().where(F.col("term").rlike(WORD))
+    # Terms of one word need no positions: the different words of a text are enough.
+    single = t.where(F.col("term").rlike(r"^\w+$"))
+    own = texts.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(WORD), F.lit(0)))).alias("term")).join(single, "term").select("text_id", "term").distinct()
+    t = t.where(~F.col("term").rlike(r"^\w+$"))
+    return own if t.isEmpty() else own.union(found_phrases(texts, t)).distinct()
+
+
+def found_phrases(texts: DataFrame, t: DataFrame) -> DataFrame:
+    """found_terms for terms of several words or with signs, by positions."""
     tw = words_at(t, "term", "term").withColumnRenamed("pos", "j")
     size = tw.groupBy("term").agg(F.count("*").cast("int").alias("m"))
     odd = F.col("term").rlike(r"^\W") | F.col("term").rlike(r"\W$")
@@ -55,7 +65,8 @@ def term_usage(texts: DataFrame, terms: DataFrame, hub_fraction: float = 0.3, mi
     t = terms.select("term_id", norm(F.col("term")).alias("term")).where(F.length("term") >= min_len)
     x = texts.select("text_id", norm(F.col("body")).alias("body"))
     n = texts.select("text_id").distinct().count()
-    hit = found_terms(x, t).join(t.distinct(), "term").where(F.col("text_id").cast("string") != F.col("term_id").cast("string"))
+    # Written once, as hits are counted and then read again: the texts are gone through only once.
+    hit = cut(found_terms(x, t).join(t.distinct(), "term").where(F.col("text_id").cast("string") != F.col("term_id").cast("string")))
     hubs = hit.groupBy("term").agg(F.count("*").alias("hits")).where(F.col("hits") > max(1.0, hub_fraction * n)).select("term")
     return hit.join(hubs, "term", "left_anti").select("text_id", "term_id", "term")
 
