@@ -105,11 +105,11 @@ class Block:
         return row, place, score.astype(np.int64)
 
     def exact(self, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For components so large that doubles would round: whole numbers of any length; scores beyond 64 bits are told as the nearest 64-bit number."""
+        """For components so large that doubles would round: whole numbers of any length; scores beyond 64 bits count as the nearest 64-bit number."""
         x, out = [whole_numbers(v) for v in self.raw], []
         for i, v in enumerate(map(whole_numbers, q)):
-            s = [(-sum(map(int.__mul__, v, w)), c) for c, w in enumerate(x) if self.ids[c] != ids[i]]
-            out += [(i, c, max(-LONG, min(LONG, -t))) for t, c in sorted(s)[:k]]
+            s = [(-max(-LONG, min(LONG, sum(map(int.__mul__, v, w)))), c) for c, w in enumerate(x) if self.ids[c] != ids[i]]
+            out += [(i, c, -t) for t, c in sorted(s)[:k]]
         a = np.array(out, np.int64).reshape(-1, 3)
         return a[:, 0], a[:, 1], a[:, 2]
 

@@ -205,11 +205,13 @@ def test_small_tiles_change_nothing(monkeypatch):
 
 
 def test_large_components(spark):
-    rows = [(0, [3e6, -7e7, 1e9]), (1, [2e6, 5.5, 1e8]), (2, [-1e9, 2e9, 3.25]), (3, [1e300, 1.0, 1.0]), (4, [-1e300, 0.0, 0.0])]
+    # Some products fit 64 bits though doubles would round them, others don't and count as the nearest number that does.
+    rows = [(0, [3e6, -7e7, 1e3]), (1, [2e6, 5.5, 1e2]), (2, [-1e3, 2e5, 3.25]), (3, [1e300, 1.0, 1.0]), (4, [-1e300, 0.0, 0.0]), (5, [1e301, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [(r.vec_id, r.score) for r in segments.top_products(df, "vec_id", "embedding", 50, 5).orderBy("rank").collect()]
     product = lambda a, b: sum(int(256 * x) * int(256 * y) for x, y in zip(a, b, strict=True))
-    assert got == [(3, segments.LONG), (1, product(rows[0][1], rows[1][1])), (2, product(rows[0][1], rows[2][1])), (4, -segments.LONG)]
+    assert abs(product(rows[0][1], rows[1][1])) > 2**53
+    assert got == [(3, segments.LONG), (5, segments.LONG), (1, product(rows[0][1], rows[1][1])), (2, product(rows[0][1], rows[2][1])), (4, -segments.LONG)]
 
 
 def test_bounds_are_never_below_the_product():
