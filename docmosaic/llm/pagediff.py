@@ -1,9 +1,10 @@
 """HTML main text by nearest-URL page differencing.
 
-A page's markup becomes text blocks. Elements that declare themselves as page furniture (by tag, role, class or id) are left out, and
-blocks inside article or main elements are the page's own by declaration. For pages without such an element the pages of a host are
-sorted by URL path and each is laid beside its nearest neighbour: a longest common subsequence aligns the lines of both, and lines
-that both share are deleted, unless the two are copies of each other (more than half of the text of both is shared).
+A page's markup becomes text blocks. Elements that declare themselves as page furniture (by tag, role, class or id) are left out.
+The pages of a host are sorted by URL path and each is laid beside its nearest neighbour: a longest common subsequence aligns the
+lines of both, and lines that both share are deleted. A check follows: blocks inside article or main elements are the page's own by
+declaration, so a passage that two articles hold stays in both. Pages without such an element that are copies of each other (more
+than half of the text of both is shared) keep everything.
 
 Pages are range-partitioned by host and path, so that a large host spreads over many tasks; the neighbours of a page are sought
 inside its range. One pass over each sorted range parses each page once and holds three of them; copies that follow each other count
@@ -125,7 +126,10 @@ def page_lines(page: str | None) -> list[Line]:
 
 
 def shared(a: list[str], b: list[str]) -> set[int]:
-    """Indexes of the lines of a in a longest common subsequence with b; rows of the table are bit sets."""
+    """Indexes of the lines of a in a longest common subsequence with b; rows of the table are bit sets, of lines that stand in both."""
+    common = set(a) & set(b)
+    at, b = [i for i, x in enumerate(a) if x in common], [x for x in b if x in common]
+    a = [a[i] for i in at]
     places: dict[str, int] = {}
     for j, x in enumerate(b):
         places[x] = places.get(x, 0) | 1 << j
@@ -141,7 +145,7 @@ def shared(a: list[str], b: list[str]) -> set[int]:
         now = (j - (rows[i] & ((1 << j) - 1)).bit_count())
         before = (j - (rows[i - 1] & ((1 << j) - 1)).bit_count()) if i else 0
         if now > before:
-            out.add(i)
+            out.add(at[i])
             while j and (j - 1 - (rows[i] & ((1 << (j - 1)) - 1)).bit_count()) == now:
                 j -= 1
             j -= 1
@@ -149,16 +153,16 @@ def shared(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(own: list[Line], near: list[Line] | None) -> str:
+    """The lines of a page that its neighbour doesn't share, and those that an article or main element declares as its own."""
+    a, b = [s for s, _ in own], [s for s, _ in near or ()]
+    gone = shared(a, b)
     if any(o for _, o in own):
-        return "\n\n".join(s for s, o in own if o)
-    a = [s for s, _ in own]
-    if near:
-        b = [s for s, _ in near]
-        gone = shared(a, b)
+        gone = {i for i in gone if not own[i][1]}
+    else:
         both = sum(len(a[i]) for i in gone)
-        if 2 * both <= sum(map(len, a)) or 2 * both <= sum(map(len, b)):
-            a = [s for i, s in enumerate(a) if i not in gone]
-    return "\n\n".join(a)
+        if 2 * both > sum(map(len, a)) and 2 * both > sum(map(len, b)):
+            gone = set()
+    return "\n\n".join(s for i, s in enumerate(a) if i not in gone)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

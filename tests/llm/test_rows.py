@@ -39,6 +39,13 @@ def test_differencing_of_plain_pages(spark):
     assert pagediff.extract_text(spark.createDataFrame([], FIELDS)).collect() == []
 
 
+def test_differencing_of_pages_with_an_article(spark):
+    body = lambda k, own: f"<body><div>Home and news</div><div>Only on {k}</div><article>{''.join(f'<p>{x}</p>' for x in own)}</article><div>All rights kept</div></body>"
+    rows = [(k, f"http://h.org/n/{k}", body(k, [f"Text {k}", "A passage of several articles"]), "", "") for k in range(3)] + [(9, "http://h.org/n/9", body(2, ["Text 2", "A passage of several articles"]), "", "")]
+    got = {r.page_id: r.text for r in pagediff.extract_text(spark.createDataFrame(rows, FIELDS)).collect()}
+    assert got == {r[0]: f"Only on {k}\n\nText {k}\n\nA passage of several articles" for r, k in zip(rows, (0, 1, 2, 2), strict=True)}
+
+
 def test_badly_nested_pages_take_linear_time():
     n = 60_000
     for page in ("<div>" * n + "</p>" * n, "<b>" * n + "<p>x</p>" * n, "<i><p>" * n + "</i>" * n, "<html><head>" + "<b>" * n + "<body>" * n + "end"):
