@@ -11,10 +11,11 @@ sets that agree with all others in fewer drop out, and of the rest the entries t
 Equal sets are one node from the start. Nodes that share an entry are never paired with each other but with the entry's pivot, the
 node with most shared entries, and verified against it on the whole sets of 64-bit shingle hashes. The same pass gives each node's
 difference to its pivot. Two nodes of one pivot differ in exactly those elements in which their differences differ. So the open
-question, which nodes of a pivot are similar to each other though not connected through it, is a join on the differences alone: they
-are taken from the pivot's group consensus instead of the pivot (elements in which most members differ from it are turned round),
-sorted by how rare an element is, and only prefixes are joined that must meet if two nodes are similar (apart_pairs). What a group
-has in common never enters that join, however many copies there are. Elements that many nodes of both sides still share make new
+question, which nodes of a pivot are similar to each other though not connected through it, is one on the differences alone: they
+are taken from the pivot's group consensus instead of the pivot (elements in which most members differ from it are turned round). A
+group whose differences fit one batch is one task's (apart_links), a row per node and array of elements. Larger ones are joined: sorted
+by how rare an element is, only prefixes that must meet if two nodes are similar (apart_pairs). What a group has in common never
+enters that join, however many copies there are. Elements that many nodes of both sides still share make new
 groups with a pivot of their own, round by round. So no link that joins anything is lost, and groups of copies never expand into pairs.
 """
 
@@ -39,6 +40,8 @@ FLUSH, STAR = 1 << 18, 128
 LOOSE, SHARE, CHANCE = 12, 6, 30
 #: Nodes of an entry of up to SMALL nodes, and of a pivot of up to FEW, are compared pair by pair where not connected yet; an element that more nodes than WIDE share on both sides makes a group of its own, for so many rounds.
 SMALL, FEW, WIDE, ROUNDS = 4, 32, 64, 8
+#: Elements of the differences of a pivot's group that one task takes, and how many of them, for each of its nodes, it may have to look at.
+LOCAL, WORK = 1 << 20, 1 << 30
 GOLD, SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -395,6 +398,57 @@ def apart_pairs(group: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame, D
     return sure, pairs, again
 
 
+def group_links(label: np.ndarray, n: np.ndarray, diffs: list[np.ndarray], t: Threshold) -> list[tuple[int, int]]:
+    """Links (by position) that connect all similar nodes of one pivot's group, at most one for each two labels that become one."""
+    elements, at = np.unique(np.concatenate(diffs), return_inverse=True)
+    turned = np.flatnonzero(np.bincount(at, minlength=len(elements)) * 2 > len(diffs))
+    own = [np.setxor1d(x, turned, assume_unique=True) for x in np.split(at, np.cumsum([len(d) for d in diffs])[:-1])]
+    d = np.array([len(x) for x in own], np.int64)
+    flat = np.concatenate(own)
+    holders = np.repeat(np.arange(len(own)), d)[np.argsort(flat, kind="stable")]
+    ends = np.cumsum(np.bincount(flat, minlength=len(elements)))
+    starts = np.append(0, ends[:-1]) if len(ends) else ends
+    label = np.unique(label, return_inverse=True)[1]
+    asking = np.flatnonzero(label != np.bincount(label).argmax())
+    out: list[tuple[int, int]] = []
+    for i in asking:
+        met = np.concatenate([holders[starts[e] : ends[e]] for e in own[i]]) if len(own[i]) else holders[:0]
+        apart = d[i] + d - 2 * np.bincount(met, minlength=len(own))
+        hit = np.flatnonzero((apart * (t.den + t.num) <= (n[i] + n) * (t.den - t.num)) & (label != label[i]))
+        if len(hit):
+            others, first = np.unique(label[hit], return_index=True)
+            out += [(int(i), int(j)) for j in hit[first]]
+            label[np.isin(label, others)] = label[i]
+    return out
+
+
+def apart_links(group: DataFrame, t: Threshold) -> DataFrame:
+    """(a, b) of links that connect all similar nodes of group (pivot, node, label, n, diff) that share a pivot; of pivots within LOCAL and WORK."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def links() -> list[tuple[int, int]]:
+            node, label, n, diffs = zip(*held, strict=True)
+            return [(node[i], node[j]) for i, j in group_links(np.array(label, np.int64), np.array(n, np.int64), list(diffs), t)]
+
+        def batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            out = []
+            for pivot, node, label, n, diff in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
+                if held and pivot != now:
+                    out += links()
+                    held = []
+                now = pivot
+                held.append((node, label, n, np.array(diff.values, np.int64)))
+            yield batch(out)
+        if held:
+            yield batch(links())
+
+    return group.select("pivot", "node", "label", "n", "diff").repartition("pivot").sortWithinPartitions("pivot").mapInArrow(compare, "a long, b long")
+
+
 def linked(held: DataFrame, sets: DataFrame, sizes: DataFrame, t: Threshold) -> DataFrame:
     """(a, b) of links that connect all similar nodes among those that share an entry of held (sig, node, pivot, nodes)."""
     links: list[DataFrame] = []
@@ -414,13 +468,21 @@ def linked(held: DataFrame, sets: DataFrame, sizes: DataFrame, t: Threshold) ->
         tight = held.where(F.col("nodes") <= SMALL).join(label, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
         x, y = tight.alias("x"), tight.alias("y")
         direct = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") < F.col("y.label"))).select(F.greatest("x.node", "y.node").alias("node"), F.least("x.node", "y.node").alias("pivot")).distinct()
-        group = told.where("m > 0").join(label, "node", "left").select("pivot", "node", "m", F.coalesce("label", "node").alias("label"))
-        mixed = cut(group.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("pivot"))
-        group = cut(group.distinct().join(mixed, "pivot").join(sizes.select("node", "n"), "node"))
+        group = told.where("m > 0").join(label, "node", "left").select("pivot", "node", "m", F.coalesce("label", "node").alias("label"), F.size("diff").cast("long").alias("d"))
+        mixed = group.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("d").alias("d"), F.count("*").alias("k")).where("low <> high")
+        mixed = cut(mixed.select("pivot", ((F.col("d") <= LOCAL) & ((F.col("d") + F.col("k")) * F.col("k") <= WORK)).alias("local")))
+        group = cut(group.drop("d").distinct().join(mixed, "pivot").join(sizes.select("node", "n"), "node"))
         x, y = group.where(F.col("m") <= FEW).alias("x"), group.where(F.col("m") <= FEW).alias("y")
         few_ = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.label") < F.col("y.label"))).select(F.greatest("x.node", "y.node").alias("node"), F.least("x.node", "y.node").alias("pivot"))
         diffs = told.where(F.col("m") > FEW).select("pivot", "node", "diff").dropDuplicates(["pivot", "node"])
-        sure, pairs, again = apart_pairs(group.where(F.col("m") > FEW).join(diffs, ["pivot", "node"]), t)
+        whole = group.where(F.col("m") > FEW).join(diffs, ["pivot", "node"])
+        links.append(cut(apart_links(whole.where("local"), t)))
+        free_shuffles(sets.sparkSession)
+        if mixed.where("not local").isEmpty():
+            links.append(cut(both(verified(direct.union(few_).distinct()))))
+            drop_cut(tried, told, label, mixed, group)
+            break
+        sure, pairs, again = apart_pairs(whole.where("not local"), t)
         links += [cut(both(verified(direct.union(few_).union(pairs).distinct()))), cut(both(sure))]
         drop_cut(tried, told, label, mixed, group, sure, pairs)
         free_shuffles(sets.sparkSession)

@@ -73,6 +73,47 @@ def test_groups_of_copies_lose_no_link(spark, monkeypatch):
         assert got == want and 3 < len({c for _, _, c in want}) < 100
 
 
+def test_groups_within_a_batch_stay_whole_and_larger_ones_are_joined(spark, monkeypatch):
+    import random
+
+    rows = group_of_copies(random.Random(7))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    joined, apart = [], setjoin.apart_pairs
+    monkeypatch.setattr(setjoin, "FEW", 1)
+    monkeypatch.setattr(setjoin, "SMALL", 1)
+    monkeypatch.setattr(setjoin, "apart_pairs", lambda group, t: joined.append(group.count()) or apart(group, t))
+    want = brute_components(rows, 4, 85, 100)
+    for local in (1 << 20, 0):
+        monkeypatch.setattr(setjoin, "LOCAL", local)
+        assert sorted(tuple(r) for r in setjoin.near_duplicates(df, 4, 85, 100).collect()) == want
+        assert bool(joined) == (local < 1 << 20)
+
+
+def test_links_of_a_group_equal_brute_force():
+    import random
+
+    import numpy as np
+
+    rng, t = random.Random(3), setjoin.Threshold(80, 100)
+    for k in range(60):
+        pivot, sets = set(range(40)), []
+        for _ in range(rng.randrange(1, 40)):
+            base = rng.choice(sets) if sets and rng.random() < 0.7 else pivot ^ set(rng.sample(range(60), rng.randrange(25)))
+            sets.append(base ^ set(rng.sample(range(60), rng.randrange(4))))
+        label = [rng.randrange(len(sets)) if k % 2 else i for i in range(len(sets))]
+        links = setjoin.group_links(np.array(label), np.array([len(s) for s in sets]), [np.array(sorted(s ^ pivot), np.int64) for s in sets], t)
+        close = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) * 100 >= len(sets[i] | sets[j]) * 80]
+        assert all((max(p), min(p)) in close for p in links)
+
+        def classes(pairs, label=label):
+            to = list(label)
+            for i, j in pairs:
+                to = [to[i] if x == to[j] else x for x in to]
+            return [[x == y for y in to] for x in to]
+
+        assert classes(links) == classes(close) and len(links) <= len(set(label))
+
+
 def test_ids_null_and_repeated(spark):
     import random
 
