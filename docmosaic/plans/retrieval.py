@@ -71,7 +71,7 @@ def tool_section(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     s = table(spark, d, "part").where("p_size in (7, 70, 17)").select(k.alias("section_id"), F.concat(F.col("p_size").cast("string"), F.when(k % 3 == 0, "").when(k % 3 == 1, ".2").otherwise("(a)")).alias("section_num"), F.col("p_name").alias("title"))
     e = table(spark, d, "lineitem").where("l_quantity > 45").groupBy(F.col("l_partkey").alias("section_id")).agg(F.min("l_orderkey").alias("eid")).select("section_id", F.col("eid").cast("string").alias("evidence_id"), F.concat(F.lit("span "), "eid").alias("text_span"))
-    return call("lookup_section", sections=s.withColumn("section_id", F.col("section_id").cast("string")), evidence=e.withColumn("section_id", F.col("section_id").cast("string")), number="7", k=10_000).select(F.col("section_id").cast("long").alias("section_id"), "id", "text").orderBy("section_id", "id").limit(25)
+    return call("lookup_section", sections=s, evidence=e, number="7", k=25)
 
 
 @query("SELECT p_partkey AS id, lower(p_name) = 'red widget' AS exact FROM part WHERE contains(lower(p_name), 'red widget') ORDER BY exact DESC, id LIMIT 8")

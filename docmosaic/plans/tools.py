@@ -50,7 +50,7 @@ def keyword_search(evidence: DataFrame, blocks: DataFrame, query: list[str], k:
 
 @tool
 def lookup_section(sections: DataFrame, evidence: DataFrame, number: str, k: int = 8) -> DataFrame:
-    """Evidence of a section; its heading where it has none."""
+    """Evidence of a section; its heading where it has none. The k first by section_id in the order of its own type, numbers as numbers."""
     s = joins.sections_by_number(sections, number)
     j = s.join(evidence.select("section_id", "evidence_id", "text_span"), "section_id", "left")
     return j.select("section_id", F.coalesce("evidence_id", F.concat("section_id", F.lit(":heading"))).alias("id"), F.coalesce("text_span", "title").alias("text")).orderBy("section_id", "id").limit(k)
