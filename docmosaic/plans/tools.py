@@ -27,7 +27,9 @@ def vector_search_evidence(evidence: DataFrame, query: list[float], k: int = 8,
 def vector_search_sections(sections: DataFrame, spans: DataFrame, query: list[float], k: int = 8, ids: list | None = None, role: str | None = None, min_score: float = 0.55) -> DataFrame:
     """T4: sections with their first visible span."""
     top = _vector(sections, query, k, ids, role, min_score, "section_id")
-    first = spans.where(predicates.span_visible(F.col("cites_confidential"), role)).groupBy("section_id").agg(F.min_by("text_span", F.struct("page_no", "evidence_id")).alias("span"))
+    # Only the spans of the k sections are read further.
+    own = spans.where(predicates.span_visible(F.col("cites_confidential"), role)).join(F.broadcast(top.select("section_id").distinct()), "section_id", "left_semi")
+    first = own.groupBy("section_id").agg(F.min_by("text_span", F.struct("page_no", "evidence_id")).alias("span"))
     return top.join(first, "section_id", "left")
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from docmosaic.plans import tools
 
 
 def test_first_sections_of_many(spark, tmp_path):
@@ -11,3 +12,11 @@ def test_first_sections_of_many(spark, tmp_path):
     spark.createDataFrame([(3, 50.0, 11), (3, 50.0, 12), (5, 1.0, 13)], "l_partkey long, l_quantity double, l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = [tuple(r) for r in __spark_entry__.queries()["tool_section"](spark, str(tmp_path)).collect()]
     assert got == [(i, "11", "span 11") if i == 3 else (i, f"{i}:heading", f"n{i}") for i in range(25)]
+
+
+def test_spans_of_the_nearest_sections_only(spark):
+    e = spark.createDataFrame([(i, 0, [1.0, float(i)], None) for i in range(20)], "section_id long, doc_id int, embedding array<double>, cites_confidential boolean")
+    text = F.when(F.col("section_id") > 2, F.raise_error(F.lit("a span of another section was read"))).otherwise(F.concat(F.lit("span "), "section_id"))
+    spans = spark.range(20).select(F.col("id").alias("section_id"), F.col("id").alias("page_no"), F.col("id").alias("evidence_id"), F.lit(None).cast("boolean").alias("cites_confidential"))
+    got = tools.vector_search_sections(e, spans.where("section_id <> 1").withColumn("text_span", text), [1.0, 0.0], 3, min_score=0.0)
+    assert sorted((r.section_id, r.span) for r in got.collect()) == [(0, "span 0"), (1, None), (2, "span 2")]
