@@ -133,11 +133,23 @@ def guessed_fields(facts: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def best_line_per_row(rows: DataFrame, lines: DataFrame, least: float = 0.6) -> DataFrame:
-    """Per repaired table row (block, row, toks) the OCR line (block, line, toks) that covers most of its tokens."""
-    a = rows.select("block", "row", F.size("toks").alias("n"), F.explode(F.array_distinct("toks")).alias("t"))
-    b = lines.select("block", "line", F.explode(F.array_distinct("toks")).alias("t"))
-    c = a.join(b, ["block", "t"]).groupBy("block", "row", "line").agg((F.count("*") / F.max("n")).alias("cover")).where(F.col("cover") >= least)
-    return c.groupBy("block", "row").agg(F.min_by("line", F.struct((-F.col("cover")).alias("c"), "line")).alias("line"))
+    """Per repaired table row (block, row, toks) the OCR line (block, line, toks) that covers most of its tokens, of equal ones the first.
+
+    Different token sets of a block meet once, by the rare tokens of a row: a line that covers ``need`` of a row's m tokens holds one
+    of any m - need + 1 of them. Rows of one set get the line that was found for it.
+    """
+    words = F.array_sort(F.filter(F.array_distinct("toks"), lambda t: t.isNotNull()))
+    a = rows.select("block", "row", F.size("toks").alias("n"), words.alias("words")).where(F.size("words") > 0)
+    b = lines.select("block", "line", words.alias("held")).groupBy("block", "held").agg(F.min("line").alias("line"))
+    w = b.select("block", "line", "held", F.explode("held").alias("w"))
+    f = w.groupBy("block", "w").agg(F.count("*").alias("f"))
+    need = F.greatest(F.lit(1), F.ceil(least * F.col("n") - 1e-9).cast("int"))
+    k = a.select("block", "n", "words").distinct().where(F.size("words") >= need).select("block", "n", "words", F.explode("words").alias("w")).join(f, ["block", "w"], "left")
+    k = k.groupBy("block", "n", "words").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "w"))).alias("o"))
+    k = k.select("block", "n", "words", F.explode(F.slice("o", 1, F.size("words") - need + 1)).alias("o")).select("block", "n", "words", F.col("o.w").alias("w"))
+    c = k.join(w, ["block", "w"]).withColumn("cover", F.size(F.array_intersect("words", "held")) / F.col("n")).where(F.col("cover") >= least)
+    best = c.groupBy("block", "n", "words").agg(F.min_by("line", F.struct((-F.col("cover")).alias("c"), "line")).alias("line"))
+    return a.join(best, ["block", "n", "words"]).select("block", "row", "line")
 
 
 def block_rects(mentions: DataFrame, geometry: DataFrame) -> DataFrame:

@@ -1,11 +1,31 @@
 """Queries whose groups grow with the tables: no cut, and no rows that the result doesn't need."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from docmosaic.operators import joins
 from docmosaic.plans import tools
 
 
+def plan_nodes(p):
+    kind = p.getClass().getSimpleName()
+    for inner in [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else []:
+        yield from plan_nodes(inner)
+    yield p
+    below = p.children().iterator()
+    while below.hasNext():
+        yield from plan_nodes(below.next())
+
+
+def run_with_most(df, metric):
+    """The rows of df, sorted, and the largest value that any node of its plan has of a metric (rows joined, rows shuffled)."""
+    rows = sorted(map(tuple, df.collect()), key=repr)
+    found = [p.metrics().get(metric) for p in plan_nodes(df._jdf.queryExecution().executedPlan())]
+    return rows, max((m.get().value() for m in found if m.isDefined()), default=0)
+
+
 def test_first_sections_of_many(spark, tmp_path):
     n = 24_000
     spark.range(n).select(F.col("id").alias("p_partkey"), F.lit(7).alias("p_size"), F.concat(F.lit("n"), "id").alias("p_name")).write.parquet(f"{tmp_path}/part.parquet")
@@ -20,3 +40,23 @@ def test_spans_of_the_nearest_sections_only(spark):
     spans = spark.range(20).select(F.col("id").alias("section_id"), F.col("id").alias("page_no"), F.col("id").alias("evidence_id"), F.lit(None).cast("boolean").alias("cites_confidential"))
     got = tools.vector_search_sections(e, spans.where("section_id <> 1").withColumn("text_span", text), [1.0, 0.0], 3, min_score=0.0)
     assert sorted((r.section_id, r.span) for r in got.collect()) == [(0, "span 0"), (1, None), (2, "span 2")]
+
+
+def test_best_lines_equal_all_pairs(spark):
+    rng = random.Random(1)
+    toks = lambda: None if rng.random() < 0.05 else [rng.choice("abcdefghij") if rng.random() < 0.95 else None for _ in range(rng.randint(0, 7))]
+    a, b = [(rng.choice(["x", "y", None]), i, toks()) for i in range(300)], [(rng.choice(["x", "y", None]), i, toks()) for i in range(300)]
+    rows, lines = spark.createDataFrame(a, "block string, row int, toks array<string>"), spark.createDataFrame(b, "block string, line int, toks array<string>")
+    for least in (0.6, 0.3, 1.0):
+        want = []
+        for block, row, ts in a:
+            covers = [(-len(set(ts) & set(us) - {None}) / len(ts), line) for other, line, us in b if block is not None and block == other and ts and us]
+            covers = [c for c in covers if c[0] < 0 and -c[0] >= least]
+            want += [(block, row, min(covers)[1])] if covers else []
+        assert want and run_with_most(joins.best_line_per_row(rows, lines, least), "numOutputRows")[0] == sorted(want, key=repr)
+
+
+def test_equal_rows_of_a_block_meet_once(spark):
+    rows = spark.range(3000).select(F.lit("b").alias("block"), F.col("id").alias("row"), F.array(F.lit("red"), F.concat(F.lit("w"), F.col("id") % 10)).alias("toks"))
+    got, most = run_with_most(joins.best_line_per_row(rows, rows.withColumnRenamed("row", "line")), "numOutputRows")
+    assert got == sorted((("b", i, i % 10) for i in range(3000)), key=repr) and most <= 3000
