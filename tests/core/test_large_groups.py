@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from docmosaic.operators import joins
+from docmosaic.operators import graph, joins
 from docmosaic.plans import tools
 
 
@@ -60,3 +60,24 @@ def test_equal_rows_of_a_block_meet_once(spark):
     rows = spark.range(3000).select(F.lit("b").alias("block"), F.col("id").alias("row"), F.array(F.lit("red"), F.concat(F.lit("w"), F.col("id") % 10)).alias("toks"))
     got, most = run_with_most(joins.best_line_per_row(rows, rows.withColumnRenamed("row", "line")), "numOutputRows")
     assert got == sorted((("b", i, i % 10) for i in range(3000)), key=repr) and most <= 3000
+
+
+def test_co_located_pairs_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(6)
+    facts = [(rng.randint(0, 60), rng.choice(["p", "q", "r", None]), rng.choice([1, 2, 3, 4, None])) for _ in range(90)] + [(None, "p", 1)]
+    want = {}
+    for i, bi, si in facts:
+        for j, bj, sj in facts:
+            if None not in (i, j) and i != j:
+                tier = 0 if bi is not None and bi == bj else 1 if si is not None and si == sj else 2
+                want[i, j] = min(want.get((i, j), 2), tier)
+    want = sorted(((i, j, ("same_block", "same_section")[t]) for (i, j), t in want.items() if t < 2), key=repr)
+    f = spark.createDataFrame(facts, "fact_id int, block_id string, section_id int")
+    for sources, targets in ((1 << 16, 1 << 11), (5, 3)):  # the latter splits places
+        monkeypatch.setattr(graph, "SOURCES", sources, raising=False)
+        monkeypatch.setattr(graph, "TARGETS", targets, raising=False)
+        assert run_with_most(graph.co_located(f, f).select("src", "tgt", "via"), "numOutputRows")[0] == want
+    one = spark.range(300).select(F.col("id").alias("fact_id"), F.lit("b").alias("block_id"), F.lit(1).alias("section_id"))
+    monkeypatch.undo()
+    got, most = run_with_most(graph.co_located(one, one), "shuffleRecordsWritten")
+    assert len(got) == 300 * 299 and most <= 300
