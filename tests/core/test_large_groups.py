@@ -81,3 +81,10 @@ def test_co_located_pairs_are_not_shuffled(spark, monkeypatch):
     monkeypatch.undo()
     got, most = run_with_most(graph.co_located(one, one), "shuffleRecordsWritten")
     assert len(got) == 300 * 299 and most <= 300
+
+
+def test_links_of_asked_are_not_shuffled(spark):
+    f = spark.range(2000).select(F.col("id").alias("fact_id"), (F.col("id") % 2).alias("block_id"), (F.col("id") % 3).alias("section_id"), F.lit("both").alias("side"))
+    got, most = run_with_most(graph.links_of(f, f.where("fact_id < 4")).select("src", "tgt", "via"), "shuffleRecordsWritten")
+    want = [(i, j, "same_block" if i % 2 == j % 2 else "same_section") for i in range(4) for j in range(2000) if i != j and (i % 2 == j % 2 or i % 3 == j % 3)]
+    assert got == sorted(want, key=repr) and most <= 2000
