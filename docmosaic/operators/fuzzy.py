@@ -14,9 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import cut
+
 WORD = "[A-Za-z0-9]+"
 #: Letters of the shorter word where one holds the other, and of words that may be similar.
 SHORTEST = 5
+#: Names of one kind that meet its answers in one task; parts that the answers of a kind come in.
+SHARE, PARTS = 1 << 15, 8
 
 
 def tokens_of(text: Column, generic: Column | list[str]) -> Column:
@@ -39,15 +43,19 @@ def letter_places(c: Column) -> Column:
 def similar_candidates(tokens: DataFrame, words: DataFrame, least: float, same_initial: bool = True, shortest: int = SHORTEST) -> DataFrame:
     """(token, word) that can reach the ratio ``least``: by segments, and by the letters they have in common. None that reaches it is left out."""
     gap, low, high = round(1 - least, 9), least / (2 - least), (2 - least) / least
-    bounds = lambda n: F.sequence(F.greatest(F.lit(shortest), F.ceil(n * low - 1e-9)).cast("int"), F.greatest(F.lit(shortest), F.floor(n * high + 1e-9)).cast("int"))
     initial = lambda c: F.substring(c, 1, 1) if same_initial else F.lit("")
     edits = lambda a, b: F.floor(gap * (F.col(a) + F.col(b)) + 1e-9).cast("int")
     # Where segment j of a word of lb letters, split into u + 1, begins.
     begin = lambda j: F.floor(F.col("lb") * j / (F.col("u") + 1)).cast("int")
     segments = lambda df: df.withColumn("u", edits("la", "lb")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("u")))).withColumn("s", begin(F.col("j"))).withColumn("g", begin(F.col("j") + 1) - F.col("s"))
-    w = words.select("word", F.length("word").alias("lb")).where(F.col("lb") >= shortest).withColumn("la", F.explode(bounds(F.col("lb"))))
+    lettered_tokens = tokens.where(lettered(F.col("token"))).select("token", F.length("token").alias("la"), initial(F.col("token")).alias("i")).where(F.col("la") >= shortest)
+    long_words = words.select("word", F.length("word").alias("lb"), initial(F.col("word")).alias("i")).where(F.col("lb") >= shortest)
+    # Only lengths that the other side has, by initial: few rows, whatever the number of words.
+    near = (F.col("la") >= F.ceil(F.col("lb") * low - 1e-9)) & (F.col("la") <= F.floor(F.col("lb") * high + 1e-9)) & (F.col("lb") >= F.ceil(F.col("la") * low - 1e-9)) & (F.col("lb") <= F.floor(F.col("la") * high + 1e-9))
+    lengths = cut(lettered_tokens.select("la", "i").distinct().join(F.broadcast(long_words.select("lb", "i").distinct()), "i").where(near).select("la", "lb", "i"))
+    w = long_words.join(F.broadcast(lengths), ["lb", "i"]).select("word", "lb", "la")
     w = segments(w).select("word", "lb", "la", "j", initial(F.col("word")).alias("i"), F.expr("substring(word, s + 1, g)").alias("part"))
-    t = tokens.where(lettered(F.col("token"))).select("token", F.length("token").alias("la")).where(F.col("la") >= shortest).withColumn("lb", F.explode(bounds(F.col("la"))))
+    t = lettered_tokens.join(F.broadcast(lengths), ["la", "i"]).select("token", "la", "lb")
     t = segments(t).withColumn("shift", F.explode(F.sequence(-F.floor((F.col("u") + F.col("lb") - F.col("la")) / 2).cast("int"), F.floor((F.col("u") + F.col("la") - F.col("lb")) / 2).cast("int"))))
     t = t.where("s + shift >= 0 and s + shift + g <= la").select("token", "lb", "la", "j", initial(F.col("token")).alias("i"), F.expr("substring(token, s + shift + 1, g)").alias("part"))
     met = t.distinct().join(w, ["lb", "la", "j", "i", "part"]).select("token", "word", "la", "lb").distinct()
@@ -96,10 +104,22 @@ def scopes(entities: DataFrame, questions: DataFrame, generic: list[str], least:
     e = entities.select("entity_id", tokens_of(F.col("name"), generic).alias("tokens")).where(F.size("tokens") > 0)
     q = questions.select("question_id", F.explode(tokens_of(F.col("text"), generic)).alias("word")).distinct()
     et = e.select("entity_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    pairs = token_matches(et, q, least)
-    asked = pairs.join(q, "word").select("token", "question_id").distinct()
-    met = et.join(asked, "token").groupBy("question_id", "entity_id").agg(F.count("*").alias("k"), F.max(F.length("token")).alias("most"), F.max("n").alias("n"))
-    return met.select("question_id", "entity_id", ((F.col("most") >= SHORTEST) | (F.col("k") >= 2)).alias("hit"), (F.col("k") / F.col("n")).alias("score"))
+    # Tokens that match the same words ask for the same questions, names with such tokens get the same answers: each is worked out once.
+    kinds = token_matches(et, q, least).groupBy("token").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    asked = kinds.select("words").distinct().select("words", F.explode("words").alias("word")).join(q, "word").select("words", "question_id").distinct()
+    named = et.join(kinds, "token").groupBy("entity_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("words", (F.length("token") >= SHORTEST).alias("long")))).alias("has"))
+    n = named.groupBy("n", "has").agg(F.ceil(F.count("*") / F.lit(SHARE)).alias("shares"))
+    met = n.select("n", "has", "shares", F.inline("has")).join(asked, "words").groupBy("n", "has", "shares", "question_id").agg(F.count("*").alias("k"), F.max("long").alias("long"))
+    answer = F.struct("question_id", (F.col("long") | (F.col("k") >= 2)).alias("hit"), (F.col("k") / F.col("n")).alias("score"))
+    # Answers in parts and names in shares, so that a kind of name with many of either spreads over the tasks.
+    part = F.pmod(F.xxhash64("question_id"), F.lit(PARTS)).alias("part")
+    answers = met.select("n", "has", "shares", part, answer.alias("answer")).groupBy("n", "has", "shares", "part").agg(F.collect_list("answer").alias("answers"))
+    answers = answers.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
+    spark = entities.sparkSession
+    # By number: the answers are many more than the names whose bytes Spark sees.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    held = named.join(n, ["n", "has"]).withColumn("share", F.pmod(F.xxhash64("entity_id"), "shares")).select("entity_id", "n", "has", "share").repartition(tasks, "entity_id")
+    return held.join(answers, ["n", "has", "share"]).select("entity_id", F.inline("answers")).select("question_id", "entity_id", "hit", "score")
 
 
 def near_misses(entities: DataFrame, questions: DataFrame, generic: list[str], least: float = 0.6, k: int = 3) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from docmosaic.operators import graph, joins
+from docmosaic.operators import fuzzy, graph, joins
 from docmosaic.plans import tools
 
 
@@ -88,3 +88,15 @@ def test_links_of_asked_are_not_shuffled(spark):
     got, most = run_with_most(graph.links_of(f, f.where("fact_id < 4")).select("src", "tgt", "via"), "shuffleRecordsWritten")
     want = [(i, j, "same_block" if i % 2 == j % 2 else "same_section") for i in range(4) for j in range(2000) if i != j and (i % 2 == j % 2 or i % 3 == j % 3)]
     assert got == sorted(want, key=repr) and most <= 2000
+
+
+def test_names_of_one_kind_share_their_answers(spark, monkeypatch):
+    names = [(i, f"{'furniture machinery steel'.split()[i % 3]} customer{'abcdefghij'[i % 10] * 9}{'abcdefghij'[i // 10 % 10]}") for i in range(600)]
+    asked = [(i, f"which furnitre or machinry of {'north south east west'.split()[i % 4]}") for i in range(80)]
+    e, q = spark.createDataFrame(names, "entity_id int, name string"), spark.createDataFrame(asked, "question_id int, text string")
+    want = sorted(((k, i, True, 0.5) for i, _ in names if i % 3 < 2 for k, _ in asked), key=repr)
+    got, most = run_with_most(fuzzy.scopes(e, q, []), "shuffleRecordsWritten")
+    assert got == want and most < 10_000
+    monkeypatch.setattr(fuzzy, "SHARE", 7, raising=False)
+    monkeypatch.setattr(fuzzy, "PARTS", 3, raising=False)
+    assert run_with_most(fuzzy.scopes(e, q, []), "numOutputRows")[0] == want
