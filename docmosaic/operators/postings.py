@@ -15,6 +15,8 @@ from ..sources.checkpoints import cut
 from .matching import pattern_hits
 
 WORD = r"\w+"
+#: Rows of one body that are laid beside those of another at a time.
+SHARE = 256
 
 
 def words_at(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -108,18 +110,34 @@ def shared_clauses(a: DataFrame, b: DataFrame, by: list[str], least: float = 0.5
     return like.join(x.select(*by, F.col("words").alias("a_words"), F.col("id").alias("a_id")), [*by, "a_words"]).join(y.select(*by, F.col("words").alias("b_words"), F.col("id").alias("b_id")), [*by, "b_words"]).select("a_id", "b_id")
 
 
+def members(rows: DataFrame, kind: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (kind, id, toks) in shares of about SHARE: (kind, share, members) and, per kind, the number of its shares."""
+    n = rows.groupBy(kind).agg(F.ceil(F.count("*") / F.lit(SHARE)).alias(f"{name}_shares"))
+    m = rows.join(n, kind).withColumn(f"{name}_share", F.pmod(F.xxhash64("id"), f"{name}_shares")).groupBy(kind, f"{name}_share").agg(F.collect_list(F.struct("id", "toks")).alias(name))
+    return m, n
+
+
 def layer_conflicts(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
     """(a_id, b_id) of one clause in two layers that have no value token in common, each having some.
 
     a, b: id, doc_id, page, body, toks. One clause: same document and page, and one body holds the other, or half of their words are
-    alike. Empty bodies and null pages are no clause.
+    alike. Empty bodies and null pages are no clause. Different bodies meet once; their rows are laid side by side in shares, so that
+    no pairs of rows are shuffled.
     """
     word = F.lit(r"[a-z0-9][a-z0-9.\-/]+")
-    made = lambda df: df.where(F.size("toks") > 0).select("id", "doc_id", "page", norm(F.col("body")).alias("body"), "toks").where("body <> '' and page is not null").withColumn("words", F.array_distinct(F.regexp_extract_all("body", word, F.lit(0))))
-    x, y = made(a), made(b)
+    made = lambda df: df.where(F.size("toks") > 0).select("id", "doc_id", "page", norm(F.col("body")).alias("body"), "toks").where("body <> '' and page is not null and doc_id is not null")
     by = ["doc_id", "page"]
-    over = pattern_hits(x.select(*by, F.col("id").alias("a_id"), "body"), y, by, "body", "body").join(y.select(*by, F.col("body").alias("hit"), F.col("id").alias("b_id")), [*by, "hit"]).select("a_id", "b_id")
-    under = pattern_hits(y.select(*by, F.col("id").alias("b_id"), "body"), x, by, "body", "body").join(x.select(*by, F.col("body").alias("hit"), F.col("id").alias("a_id")), [*by, "hit"]).select("a_id", "b_id")
-    pairs = shared_clauses(x, y, by, least).union(over).union(under).distinct()
-    t = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.col("toks").alias(f"{n}_toks"))
-    return pairs.join(t(x, "a"), "a_id").join(t(y, "b"), "b_id").where(~F.arrays_overlap("a_toks", "b_toks")).select("a_id", "b_id")
+    x, y = made(a), made(b)
+    # Written once, so that a kind keeps its number.
+    kinds = lambda df: cut(df.select(*by, "body").distinct().select(F.monotonically_increasing_id().alias("id"), *by, "body", F.array_distinct(F.regexp_extract_all("body", word, F.lit(0))).alias("words")))
+    k = kinds(x.select(*by, "body").union(y.select(*by, "body")))
+    held = lambda name: pattern_hits(k.select(*by, F.col("id").alias("over"), "body"), k, by, "body", "body").join(k.select(*by, F.col("body").alias("hit"), F.col("id").alias("under")), [*by, "hit"]).select(*name)
+    pairs = shared_clauses(k, k, by, least).select(F.col("a_id").alias("ka"), F.col("b_id").alias("kb"))
+    pairs = pairs.union(held(["over", "under"])).union(held(["under", "over"])).distinct()
+    numbered = lambda df, name: df.join(k.select(*by, "body", F.col("id").alias(name)), [*by, "body"]).select(name, "id", "toks")
+    (left, n_left), (right, n_right) = members(numbered(x, "ka"), "ka", "a"), members(numbered(y, "kb"), "kb", "b")
+    shares = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    met = pairs.join(n_left, "ka").join(n_right, "kb").withColumn("a_share", shares("a_shares")).withColumn("b_share", shares("b_shares")).select("ka", "a_share", "kb", "b_share")
+    sides = met.join(left, ["ka", "a_share"]).select("kb", "b_share", "a").join(right, ["kb", "b_share"])
+    each = sides.select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
+    return each.where(~F.arrays_overlap("a.toks", "b.toks")).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from docmosaic.operators import fuzzy, graph, joins
+from docmosaic.operators import fuzzy, graph, joins, postings
 from docmosaic.plans import tools
 
 
@@ -100,3 +100,32 @@ def test_names_of_one_kind_share_their_answers(spark, monkeypatch):
     monkeypatch.setattr(fuzzy, "SHARE", 7, raising=False)
     monkeypatch.setattr(fuzzy, "PARTS", 3, raising=False)
     assert run_with_most(fuzzy.scopes(e, q, []), "numOutputRows")[0] == want
+
+
+def test_conflicts_equal_all_pairs_and_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(8)
+    body = lambda: None if rng.random() < 0.05 else " ".join(rng.choice(["Red", "blue", "ring", "bolt", "b-7", "plate", "x"]) for _ in range(rng.randint(0, 4)))
+    toks = lambda: None if rng.random() < 0.05 else [rng.choice("uvw") for _ in range(rng.randint(0, 2))]
+    made = lambda first: [(first + i, rng.choice(["d", "e", None]), rng.choice([1, 2, None]), body(), toks()) for i in range(500)]
+    a, b = made(0), made(1000)
+    words = lambda t: {w for w in t.split() if len(w) > 1}
+    norm = lambda t: " ".join((t or "").lower().split())
+    want = []
+    for i, d, p, s, t in a:
+        for j, e, q, r, u in b:
+            s1, r1 = norm(s), norm(r)
+            if None in (d, p) or (d, p) != (e, q) or not s1 or not r1 or not t or not u or set(t) & set(u):
+                continue
+            v, w = words(s1), words(r1)
+            if s1 in r1 or r1 in s1 or (v and w and 2 * len(v & w) >= len(v | w)):
+                want.append((i, j))
+    schema = "id int, doc_id string, page int, body string, toks array<string>"
+    x, y = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    assert len(want) > 150
+    for share in (256, 2):
+        monkeypatch.setattr(postings, "SHARE", share, raising=False)
+        assert run_with_most(postings.layer_conflicts(x, y), "numOutputRows")[0] == sorted(want, key=repr)
+    monkeypatch.undo()
+    one = spark.range(200).select("id", F.lit("d").alias("doc_id"), F.lit(1).alias("page"), F.lit("red ring").alias("body"), F.array(F.col("id").cast("string")).alias("toks"))
+    got, most = run_with_most(postings.layer_conflicts(one, one), "shuffleRecordsWritten")
+    assert len(got) == 200 * 199 and most <= 400
